@@ -29,5 +29,23 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, manifest)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op7_token_files)}
+def op3_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
+def op9_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_simhash_vantage_trees, op5_secret_ownership, op7_token_files, op9_license_diagonals)}
 ORACLES: dict[str, str] = {}
