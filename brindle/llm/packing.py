@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import settle
 from .tokens import read_spec, tokenizer
 
-#: Steps of the local search on the histogram; only the last few bins depend on it.
+#: Bins that the local search on the histogram looks at; only the last few bins depend on it.
 SEARCH_STEPS = 20_000
 
 
@@ -73,51 +73,65 @@ def improve(bins: Counter, capacity: int, steps: int = SEARCH_STEPS) -> Counter:
         if not bins[p]:
             del bins[p]
 
+    def at_least(values: list[int], x: int) -> int:
+        """The smallest of the ascending ``values`` that is x or more, or 0."""
+        i = bisect_left(values, x)
+        return values[i] if i < len(values) else 0
+
     def trade(source: list[int]) -> bool:
         """One change between ``source`` and another underfull bin that makes the other one fuller."""
-        for p in sorted((p for p in bins if sum(p) < capacity), key=sum, reverse=True):
+        nonlocal steps
+        own = sorted(set(source))
+        for p in fullest:
+            if p not in bins:
+                continue
+            steps -= 1
+            if steps <= 0:
+                return False
             room = capacity - sum(p)
-            fits = [x for x in source if x <= room]
-            if fits:
-                x = max(fits)
-                take(p)
-                source.remove(x)
-                bins[tuple(sorted((*p, x), reverse=True))] += 1
-                return True
-            if sum(p) < sum(source):
+            i = bisect_left(own, room + 1)
+            if i:
+                out, back = [own[i - 1]], []
+            elif capacity - room < sum(source):
                 continue
-            gain, pick = 0, None
-            for x in set(source):
-                for y in set(p):
-                    if 0 < x - y <= room and x - y > gain:
-                        gain, pick = x - y, ([x], [y])
-                for i, y in enumerate(p):
-                    for z in p[i + 1 :]:
-                        if 0 < x - y - z <= room and x - y - z > gain:
-                            gain, pick = x - y - z, ([x], [y, z])
-            for i, x in enumerate(source):
-                for w in source[i + 1 :]:
-                    for y in set(p):
-                        if 0 < x + w - y <= room and x + w - y > gain:
-                            gain, pick = x + w - y, ([x, w], [y])
-            if pick:
-                take(p)
-                rest = list(p)
-                for y in pick[1]:
-                    rest.remove(y)
-                for x in pick[0]:
-                    source.remove(x)
-                bins[tuple(sorted((*rest, *pick[0]), reverse=True))] += 1
-                source += pick[1]
-                return True
+            else:
+                values = sorted(set(p))
+                tries = [(x - y, [x], [y]) for x in own if 0 < (y := at_least(values, x - room)) < x]
+                for x in own:  # one for two: the least pair that makes room
+                    j = len(p) - 1
+                    for i, y in enumerate(p):
+                        while j > i and y + p[j] < x - room:
+                            j -= 1
+                        if j <= i:
+                            break
+                        if y + p[j] < x:
+                            tries.append((x - y - p[j], [x], [y, p[j]]))
+                if len(own) <= 40:  # two for one
+                    tries += [(x + w - y, [x, w], [y]) for i, x in enumerate(source) for w in source[i + 1 :] if 0 < (y := at_least(values, x + w - room)) < x + w]
+                if not tries:
+                    continue
+                _, out, back = max(tries)
+            take(p)
+            rest = list(p)
+            for y in back:
+                rest.remove(y)
+            for x in out:
+                source.remove(x)
+            new = tuple(sorted((*rest, *out), reverse=True))
+            bins[new] += 1
+            if sum(new) < capacity and bins[new] == 1:
+                fullest.insert(bisect_left(fullest, -sum(new), key=lambda q: -sum(q)), new)
+            source += back
+            return True
         return False
 
+    fullest = sorted((p for p in bins if sum(p) < capacity), key=lambda p: -sum(p))
     while steps > 0 and count > least:
         source_pattern = min(bins, key=lambda p: (sum(p), p))
         before, source = bins.copy(), list(source_pattern)
         take(source_pattern)
-        while source and steps > 0 and trade(source):
-            steps -= 1
+        while source and trade(source):
+            pass
         if source:  # it cannot be emptied: undo, and no fuller bin can be emptied more easily
             return before
         count -= 1
