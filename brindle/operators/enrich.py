@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,16 @@ def page_as_of(chunks: DataFrame, marks: DataFrame, keys: list[str], place: str
     return chunks.join(per, keys, "left").withColumn("page", page_at(F.col("_marks"), F.col(place))).drop("_marks")
 
 
+def page_of(text: str, marks: list[tuple[int, int]], content: str) -> int | None:
+    """The plain twin: the page (marks: place, number) that the content's head stands on, in ``text``."""
+    for n in (200, 80):
+        head = content[:n].strip()
+        if head and (at := text.find(head)) >= 0:
+            i = bisect_right(marks, at, key=lambda m: m[0])
+            return marks[i - 1][1] if i else None
+    return None
+
+
 def prefixed(label: Column, kind: Column, header: Column, content: Column) -> Column:
     """The text that is embedded: source and kind, section if any, content."""
     section = F.when(F.coalesce(header, F.lit("")) != "", F.concat(F.lit("\n[Bölüm: "), header, F.lit("]"))).otherwise(F.lit(""))

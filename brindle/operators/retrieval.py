@@ -36,14 +36,6 @@ def rerank(candidates: DataFrame, k: int, policy: Policy = Policy()) -> DataFram
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int, policy: Policy = Policy(), **scope) -> DataFrame:
-    """Over-fetch, drop what is too far, rerank. ``questions``: query_id, query, qv [, headers]."""
-    found = search(chunks, questions, max(k, 1) * max(policy.candidate_multiplier, 1), **scope)
-    asked = questions.select("query_id", "query", F.col("headers") if "headers" in questions.columns else F.expr("cast(array() as array<string>)").alias("headers"))
-    near = found.where(F.coalesce("similarity", F.lit(0.0)) >= policy.min_similarity).join(asked, "query_id")
-    return rerank(near, policy.max_context_chunks or k, policy)
-
-
 def context(ranked: DataFrame) -> DataFrame:
     """Per question the context text and its sources, in rank order. A question's rows are at most k."""
     pages = R.source_pages(F.col("doc_metadata"), F.col("content"))
@@ -63,6 +55,31 @@ def context(ranked: DataFrame) -> DataFrame:
     return both.select("query_id", F.array_join(F.transform("x", lambda r: r["part"]), "\n\n---\n\n").alias("context"), F.transform("x", lambda r: r["source"]).alias("sources"))
 
 
+def debug_info(candidates: DataFrame, ranked: DataFrame, k: int, policy: Policy = Policy(), unit: str | None = None, collection: str | None = None, filenames: list[str] | None = None, **_) -> DataFrame:
+    """query_id, debug_info: how the retrieval went, with the first three chunks."""
+    counts = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("rank").cast("int").alias("rank"), "filename", "chunk_index", F.round("similarity", 4).alias("similarity_score"))
+    top = ranked.where(F.col("rank") <= 3).groupBy("query_id").agg(F.array_sort(F.collect_list(first)).alias("top"))
+    info = F.struct(
+        F.lit("SCOPED" if (filenames or unit or collection) else "GLOBAL").alias("retrieval_mode"), F.lit(unit).cast("string").alias("unit"), F.lit(collection).cast("string").alias("collection"),
+        F.array(*map(F.lit, filenames or [])).cast("array<string>").alias("filename_filters"), F.lit(max(k, 1) * max(policy.candidate_multiplier, 1)).alias("candidate_k"),
+        F.col("n").alias("candidate_count"), "top",
+    )
+    return counts.join(top, "query_id", "left").select("query_id", info.alias("debug_info"))
+
+
+def candidates(chunks: DataFrame, questions: DataFrame, k: int, policy: Policy = Policy(), **scope) -> DataFrame:
+    """Over-fetched chunks of each question that are near enough, with the question's text and headers."""
+    found = search(chunks, questions, max(k, 1) * max(policy.candidate_multiplier, 1), **scope)
+    asked = questions.select("query_id", "query", F.col("headers") if "headers" in questions.columns else F.expr("cast(array() as array<string>)").alias("headers"))
+    return found.where(F.coalesce("similarity", F.lit(0.0)) >= policy.min_similarity).join(asked, "query_id")
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, k: int, policy: Policy = Policy(), **scope) -> DataFrame:
+    """Over-fetch, drop what is too far, rerank. ``questions``: query_id, query, qv [, headers]."""
+    return rerank(candidates(chunks, questions, k, policy, **scope), policy.max_context_chunks or k, policy)
+
+
 def answer(chunks: DataFrame, questions: DataFrame, k: int, embed, generate, policy: Policy = Policy(), custom_prompt: str | None = None, **scope) -> DataFrame:
     """The whole way: embed, expand, embed anew, retrieve, build the context, generate. ``embed`` and ``generate`` are
     column functions (text -> vector; system prompt, user prompt -> text). Questions without a source get the fallback."""
@@ -70,19 +87,33 @@ def answer(chunks: DataFrame, questions: DataFrame, k: int, embed, generate, pol
     if policy.expand:
         asked = expand(chunks, asked)
         asked = asked.withColumn("qv", F.when(F.col("expanded") == F.col("query"), F.col("qv")).otherwise(embed(F.col("expanded"))))
-    found = context(retrieve(chunks, asked, k, policy, **scope))
-    out = asked.select("query_id", "query").join(found, "query_id", "left")
+    near = candidates(chunks, asked, k, policy, **scope)
+    ranked = rerank(near, policy.max_context_chunks or k, policy)
+    out = asked.select("query_id", "query").join(context(ranked), "query_id", "left").join(debug_info(near, ranked, k, policy, **scope), "query_id", "left")
     made = generate(R.system_prompt(F.lit(custom_prompt)), R.user_prompt(F.col("query"), F.col("context")))
-    return out.select("query_id", "query", F.when(F.col("context").isNull(), F.lit(policy.fallback_answer)).otherwise(F.trim(made)).alias("answer"), "sources", F.lit("SCOPED" if any(scope.values()) else "GLOBAL").alias("mode"))
+    return out.select("query_id", "query", F.when(F.col("context").isNull(), F.lit(policy.fallback_answer)).otherwise(F.trim(made)).alias("answer"), "sources", F.lit("SCOPED" if any(scope.values()) else "GLOBAL").alias("mode"), "debug_info")
 
 
 def frames(answers: DataFrame) -> DataFrame:
-    """Server-sent event frames of each answer: answer, then its sources if it has any."""
+    """Server-sent event frames of each answer: the answer, its sources if it has any, how it was found."""
+    shown = F.transform("sources", lambda s: F.struct(s["filename"].alias("filename"), s["chunk_index"].alias("chunk_index"), s["header"].alias("header"), s["similarity"].alias("similarity_score"), s["preview"].alias("content_preview"), s["source_pages"].alias("source_pages")))
+    options = {"ignoreNullFields": "false"}
     events = F.filter(
         F.array(
-            F.struct(F.lit("answer").alias("event"), F.to_json(F.struct(F.lit("answer").alias("type"), F.col("answer").alias("data"))).alias("payload")),
-            F.struct(F.lit("sources").alias("event"), F.when(F.size("sources") > 0, F.to_json(F.struct(F.lit("sources").alias("type"), F.col("sources").alias("data")))).alias("payload")),
+            F.struct(F.lit("answer").alias("event"), F.to_json(F.struct("answer"), options).alias("payload")),
+            F.struct(F.lit("sources").alias("event"), F.when(F.size("sources") > 0, F.to_json(F.struct(shown.alias("sources")), options)).alias("payload")),
+            F.struct(F.lit("debug_info").alias("event"), F.when(F.col("debug_info").isNotNull(), F.to_json(F.struct("debug_info"), options)).alias("payload")),
         ),
         lambda e: e["payload"].isNotNull(),
     )
     return answers.select("query_id", F.posexplode(events).alias("seq", "e")).select("query_id", "seq", "e.event", F.concat(F.lit("data: "), "e.payload", F.lit("\n\n")).alias("frame"))
+
+
+def banner(answers: DataFrame) -> DataFrame:
+    """Each answer as a plain text stream: its sources as lines, a rule, the answer; the answer alone where it has none."""
+    line = lambda s: F.concat(
+        F.lit("  • "), s["filename"], F.when(s["source_pages"].isNotNull(), F.concat(F.lit(" | Sayfa "), s["source_pages"])).otherwise(""),
+        F.when(s["header"].isNotNull(), F.concat(F.lit(" - "), s["header"])).otherwise(""), F.lit(" (Güven: %"), R.percent(s["similarity"]).cast("string"), F.lit(")\n"),
+    )
+    head = F.concat(F.lit("📚 KAYNAKLAR ("), F.size("sources").cast("string"), F.lit(" chunk):\n"), F.array_join(F.transform("sources", line), ""), F.lit("\n" + "=" * 70 + "\n\n"))
+    return answers.select("query_id", F.when(F.size("sources") > 0, F.concat(head, "answer")).otherwise(F.col("answer")).alias("stream"))

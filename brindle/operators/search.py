@@ -17,6 +17,8 @@ from ..functions.relevance import cosine
 
 #: Questions that are shared with the executors at once.
 BLOCK = 1024
+#: Found rows (of some 40 bytes) that may be broadcast to fetch their chunks; with more, both sides are shuffled.
+MOST_SHARED = 200_000
 
 
 def not_deleted() -> Column:
@@ -68,10 +70,10 @@ def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedd
     spark = chunks.sparkSession
     asked = questions.select(F.col(id_col).cast("long").alias("q"), F.col(question_vector).alias("v")).where("v is not null")
     found = None
-    count = asked.count()
+    first = asked.limit(BLOCK + 1).collect()
+    count = len(first) if len(first) <= BLOCK else asked.count()
     for block in range(max(1, -(-count // BLOCK))):
-        part = asked if count <= BLOCK else asked.where(F.pmod(F.xxhash64("q"), F.lit(-(-count // BLOCK))) == block)
-        rows = part.collect()
+        rows = first if count <= BLOCK else asked.where(F.pmod(F.xxhash64("q"), F.lit(-(-count // BLOCK))) == block).collect()
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
 
         def run(batches, shared=shared):
@@ -97,6 +99,8 @@ def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedd
         found = near if found is None else found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if count * k <= MOST_SHARED:  # k rows a question: the chunks are read where they lie
+        best = F.broadcast(best)
     return best.join(chunks.drop(vector), F.col("key") == F.col(key)).drop("key").withColumn("distance", 1 - F.col("similarity"))
 
 

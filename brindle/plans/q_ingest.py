@@ -236,12 +236,12 @@ def header_row(spark, d):
     return cells(spark, d).select("row_id", T.n_header_row(rows).alias("header_row"))
 
 
-@query("""with t as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 1 then year(l_shipdate) || '/' || month(l_shipdate) end as period from lineitem)
- select l_orderkey, l_linenumber, coalesce(period, last_value(period ignore nulls) over (partition by l_orderkey order by l_linenumber rows between unbounded preceding and 1 preceding)) as period from t""")
+@query("""with t as (select *, case when l_linenumber % 3 = 1 then year(l_shipdate) || '/' || month(l_shipdate) end as period from lineitem)
+ select l_orderkey, l_linenumber, coalesce(period, last_value(period ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice rows between unbounded preceding and 1 preceding)) as period from t""")
 def period_ffill(spark, d):
     from pyspark.sql.window import Window
 
     t = table(spark, d, "lineitem")
     own = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.year("l_shipdate").cast("string"), F.lit("/"), F.month("l_shipdate").cast("string")))
-    before = F.last("own", ignorenulls=True).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("own", ignorenulls=True).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1))
     return t.withColumn("own", own).select("l_orderkey", "l_linenumber", F.coalesce("own", before).alias("period"))

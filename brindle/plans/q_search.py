@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import relevance as R
 from ..functions.models import embedder, first_sentence, hash_vectors
 from ..operators import retrieval, search
-from .views import CORPUS, corpus, questions, questions_sql, table
+from .views import CORPUS, corpus, questions, questions_sql, settled, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -198,7 +198,7 @@ def hash_embed(spark, d):
 
 def _answers(spark, d, **scope):
     embed = embedder(hash_vectors)
-    chunks = corpus(spark, d).withColumn("embedding", embed(F.col("content")))
+    chunks = settled(corpus(spark, d).withColumn("embedding", embed(F.col("content"))), "chunks")
     return retrieval.answer(chunks, questions(spark, d).select("query_id", "query"), 5, embed, first_sentence, **scope)
 
 
@@ -215,3 +215,9 @@ def rag_scoped(spark, d):
 @query()
 def sse_frames(spark, d):
     return retrieval.frames(_answers(spark, d))
+
+
+@query()
+def answer_stream(spark, d):
+    """Answers as plain text streams, below their sources."""
+    return retrieval.banner(_answers(spark, d))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_path(spark, what: str) -> str:
+    """A new path in the folder that all executors share (a temporary one where the session runs in one process)."""
+    at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="brindle-")
+    if "://" not in at and not at.startswith("file:"):
+        at = "file://" + os.path.abspath(at)
+    return f"{at.rstrip('/')}/brindle/{what}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, whoever asks how often."""
+    at = work_path(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks: documents with the vector of the same number."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
