@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Words of benchmark items that are shared with the executors at once.
 BLOCK_WORDS = 2_000_000
 #: Edits allowed, as a share of an item's words; sampled positions of a table; recall to reach; tables at most.
@@ -74,9 +76,8 @@ class Items:
         self.texts = [np.array([self.vocabulary[x] for x in t], np.int64) for t in texts]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.most = np.array([int(edits * n) if n >= 5 else 0 for n in self.size], np.int64)
-        self.member = np.zeros((len(texts), len(self.vocabulary) + 1), bool)
-        for i, t in enumerate(self.texts):
-            self.member[i, t] = True
+        self.wide = len(self.vocabulary) + 1
+        self.held = np.unique(np.concatenate([i * self.wide + t for i, t in enumerate(self.texts)])) if self.texts else np.zeros(0, np.int64)
         self.seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         runs = [min(3, n, -(-(n - k) // (k + 1))) for n, k in zip(self.size.tolist(), self.most.tolist())]
         for length in sorted(set(runs)):
@@ -92,6 +93,11 @@ class Items:
         self.tables, self.reached = self.choose(recall) if self.ids else (1, 1.0)
         self.keys = self.embed(np.arange(len(self.texts)), [t for t in self.texts], self.tables) if self.ids else None
 
+    def member(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether the items hold the words: a search among the (item, word) pairs, whose number is that of the words."""
+        wanted = item * self.wide + word
+        return self.held[np.minimum(np.searchsorted(self.held, wanted), len(self.held) - 1)] == wanted
+
     @staticmethod
     def rolled(words: np.ndarray, length: int) -> np.ndarray:
         n = max(0, len(words) - length + 1)
@@ -205,7 +211,7 @@ class Items:
         enough = np.zeros(len(cand), np.int64)
         for j in range(int((hi - lo).max(initial=0))):  # how many words of the item the stretch holds
             inside = lo + j < hi
-            enough += inside & self.member[item, np.maximum(words[np.minimum(lo + j, len(words) - 1)], 0)]
+            enough += inside & self.member(item, np.maximum(words[np.minimum(lo + j, len(words) - 1)], 0))
         keep = np.flatnonzero(enough >= size - most)
         if not len(keep):
             return
@@ -257,4 +263,5 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, reca
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with their columns."""
-    return find_items(docs, benchmark, into="_leaks", **options).where(F.size("_leaks") == 0).drop("_leaks")
+    (into,) = fresh(docs, "leaks")
+    return find_items(docs, benchmark, into=into, **options).where(F.size(into) == 0).drop(into)

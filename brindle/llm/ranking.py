@@ -6,8 +6,8 @@ poor rows falls on 0.5. Every whole text is scored where it lies, without a shuf
 
 Defined cases: a null text is empty; a text without words has all features zero and a score like any other; null
 labels are left out, repeated labels of a document count once by their mean, and ties (mean one half) are left out;
-without labels of both kinds every score is 0.5 (and kept); an empty table gives an empty result; other columns are
-ignored.
+without labels of both kinds every score is 0.5 (and kept); an empty table gives an empty result; other columns stay
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .textstats import FEATURES, features
 
 #: Labelled rows that training may gather at most (about 100 bytes each), pairs it draws of them, weight of the penalty.
@@ -80,20 +81,21 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.w - self.threshold, -30, 30)))
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all, if not given) with score and predicted (1: kept) added, in place of their own."""
+def rank_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``columns`` of ``docs`` (all, if not given) with a score and a prediction (1: kept) added as ``into``, in place of
+    columns of these names."""
     model = docs.sparkSession.sparkContext.broadcast(Ranker(*labelled(docs, labels, usable, sample, id_col, text_col)))
-    plain = docs.select(*[c for c in (docs.columns if columns is None else columns) if c not in ("score", "predicted")], F.col(text_col).alias("_text"))
+    plain = docs.select(*[F.col(c) for c in (docs.columns if columns is None else columns) if c not in into], F.col(text_col).alias(*fresh(docs, "_text")))
     names = plain.columns[:-1]
 
     def run(batches):
         for b in batches:
             x = [features(t) for t in b.column(len(names)).to_pylist()]
             s = model.value.score(np.stack(x).astype(np.float64) if x else np.zeros((0, len(FEATURES))))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*names, *into])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-    return plain.mapInArrow(run, f"{fields}, score double, predicted int")
+    return plain.mapInArrow(run, f"{fields}, `{into[0]}` double, `{into[1]}` int")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
