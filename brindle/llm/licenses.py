@@ -1,13 +1,13 @@
 """License scan by diagonal voting, in DataFrame expressions alone.
 
-All rolling word k-gram hashes of the texts that hold a license word are joined with the templates' positions (a table
-of fixed size, so it is broadcast). A match at word p of the text and word q of the template votes for the diagonal
-p - q; neighbouring diagonals (small edits) merge; a merged span is verified by the share of the template's k-grams it
-holds and by its length. Votes are summed per text, so rows never meet by phrase, however common it is.
-
-A template is only reported in a text that holds one of ``ANCHORS``; each template holds one, and this is part of what
-a verified span means. Defined cases: a null text is empty (no words, no labels, score 0); rows with equal doc_id and
-equal text share their labels, each row being returned; an empty table gives none; other columns are ignored.
+All rolling word k-gram hashes of all texts are joined with the templates' positions (a table of fixed size, so it is
+broadcast). A match at word p of the text and word q of the template votes for the diagonal p - q; neighbouring
+diagonals (small edits) merge; a merged span is verified by the share of the template's k-grams it holds and by its
+length. The join comes before any shuffle, so only matches travel, and votes are summed per text and diagonal by
+partial aggregates: rows never meet by phrase, however common it is.
+
+Defined cases: a null text is empty (no words, no labels, score 0); rows with equal doc_id and equal text share their
+labels, each row being returned; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, settle
+from .common import ascii_lower
 
 #: Exact phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -36,7 +36,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without the prior written permission of the copyright owner"),
 )
-ANCHORS = ("licen", "copyright", "permission", "permitted", "public domain", "redistribut")
 #: Words of a k-gram; diagonals that merge; least share of a template's k-grams; a span's length against its template.
 GRAM, SLACK, LEAST_SHARE, STRETCH = 3, 3, 0.6, 1.5
 
@@ -46,7 +45,13 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def grams(words: Column, k: int) -> Column:
     """xxhash64 of each run of k words; none if there are fewer."""
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    starts = F.sequence(F.lit(0), F.size(words) - k)
+    return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it (in its own lambdas too)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -58,21 +63,15 @@ def places(words: Column, phrase: str) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, places of the phrases, verified spans, labels, score."""
-    spark, low = docs.sparkSession, F.lower(F.col("_t"))
-    held = F.lit(False)
-    for a in ANCHORS:
-        held = held | F.contains(low, F.lit(a))
-    # \x80 and above are word characters, so what parts words is ASCII
-    near = held | low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by[\x00-\x2F\x3A-\x60\x7B-\x7F]+nc")
-    words = F.when(near, F.regexp_extract_all(ascii_lower(F.col("_t")), F.lit(WORD), F.lit(0)))
+    spark = docs.sparkSession
     seen = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    seen = seen.select("_id", F.xxhash64("_t").alias("_h"), F.regexp_count("_t", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), words.alias("_w"), held.alias("_held"))
-    seen = settle(seen.withColumn("_key", F.coalesce("_id", F.lit(-(1 << 63)))), "licenses")
+    seen = seen.withColumns({"_key": F.coalesce("_id", F.lit(-(1 << 63))), "_h": F.xxhash64("_t")})
+    words = F.regexp_extract_all(ascii_lower(F.col("_t")), F.lit(WORD), F.lit(0))
 
-    kept = seen.where(F.col("_w").isNotNull() & F.col("_held")).select("_key", "_h", F.posexplode(grams(F.col("_w"), gram)).alias("p", "g")).dropDuplicates(["_key", "_h", "p"])
-    rows = [(i, label, len(t.split()), q, " ".join(t.split()[q : q + gram])) for i, (label, t) in enumerate(TEMPLATES) for q in range(len(t.split()) - gram + 1)]
-    known = spark.createDataFrame(rows, "template int, label string, size int, q int, gram string").withColumn("g", F.xxhash64("gram")).drop("gram")
-    votes = kept.join(F.broadcast(known), "g").groupBy("_key", "_h", "template", "label", "size", (F.col("p") - F.col("q")).alias("diagonal"))
+    each = seen.select("_key", "_h", F.posexplode(once(words, lambda w: grams(w, gram))).alias("p", "g"))
+    rows = [(i, label, len(t.split()), q, t.split()[q : q + gram]) for i, (label, t) in enumerate(TEMPLATES) for q in range(len(t.split()) - gram + 1)]
+    known = spark.createDataFrame(rows, "template int, label string, size int, q int, w array<string>").withColumn("g", F.xxhash64(*[F.get("w", F.lit(j)) for j in range(gram)])).drop("w")
+    votes = each.join(F.broadcast(known), "g").groupBy("_key", "_h", "template", "label", "size", (F.col("p") - F.col("q")).alias("diagonal"))
     votes = votes.agg(F.min("p").alias("first"), F.max("p").alias("last"), F.collect_set("q").alias("qs"))
     line = Window.partitionBy("_key", "_h", "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > SLACK).cast("int"), F.lit(1))
@@ -81,18 +80,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
     merged = merged.withColumn("share", F.size("qs") / (F.col("size") - gram + 1)).where((F.col("share") >= least_share) & (F.col("end") - F.col("start") <= STRETCH * F.col("size") + SLACK))
     found = merged.groupBy("_key", "_h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "share"))).alias("spans"), F.max("share").alias("share"))
 
-    starts = [places(F.col("_w"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)]
-    based = seen.where(F.col("_w").isNotNull()).select("_key", "_h", *starts).dropDuplicates(["_key", "_h"])
+    # the base: each phrase holds one of these, so other texts need not be cut into words again
+    near = F.contains(F.lower("_t"), F.lit("license")) | F.lower("_t").rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by[\x00-\x2F\x3A-\x60\x7B-\x7F]+nc")
+    none_at, none = F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<string>)")
+    at = F.when(near, once(words, lambda w: F.struct(*[places(w, p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)])))
+    based = seen.select("_id", "_key", "_h", F.regexp_count("_t", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), at.alias("_at"))
+    based = based.select("_id", "_key", "_h", "n_words", *[F.coalesce(f"_at.p{i}", none_at).alias(f"p{i}") for i in range(len(PHRASES))])
     every = F.concat(*[f"p{i}" for i in range(len(PHRASES))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
-    based = based.select("_key", "_h", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(labels).alias("base"))
-    based = based.join(found, ["_key", "_h"], "left")
-    out = seen.select("_id", "_key", "_h", "n_words").join(based, ["_key", "_h"], "left")
-    none = F.expr("cast(array() as array<string>)")
-    base, spans = F.coalesce("base", none), F.coalesce("spans", F.expr("array()").cast(found.schema["spans"].dataType))
-    both = F.array_sort(F.array_distinct(F.concat(base, F.transform(spans, lambda x: x["label"]))))
-    score = F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
-    return out.select(F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", base.alias("base"), both.alias("labels"), score.alias("score"), spans.alias("spans"))
+    based = based.select("_id", "_key", "_h", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(labels).alias("base"))
+
+    out = based.join(found, ["_key", "_h"], "left")
+    spans = F.coalesce("spans", F.expr("array()").cast(found.schema["spans"].dataType))
+    both = F.array_sort(F.array_distinct(F.concat(F.coalesce("base", none), F.transform(spans, lambda x: x["label"]))))
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
+    return out.select(F.col("_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base", both.alias("labels"), score.alias("score"), spans.alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
