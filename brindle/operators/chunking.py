@@ -137,7 +137,7 @@ def chunker(kernel: Callable[[str], list[dict]] = route) -> Callable[[Column], C
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: kernel(t or ""))
 
-    return run
+    return run.asNondeterministic()  # else a filter on the array's size is put below the explode, and runs it twice
 
 
 def chunks_of(docs: DataFrame, text: str = "text", kernel: Callable[[str], list[dict]] = route) -> DataFrame:

@@ -48,7 +48,7 @@ def page_as_of(chunks: DataFrame, marks: DataFrame, keys: list[str], place: str
 
 def page_of(text: str, marks: list[tuple[int, int]], content: str) -> int | None:
     """The plain twin: the page (marks: place, number) that the content's head stands on, in ``text``."""
-    for n in (200, 80):
+    for n in (200, 80) if marks else ():
         head = content[:n].strip()
         if head and (at := text.find(head)) >= 0:
             i = bisect_right(marks, at, key=lambda m: m[0])

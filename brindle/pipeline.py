@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from .config import Policy
 from .functions import classify, normalize
 from .operators import chunking, enrich, retrieval
-from .sources.files import suffix_of
 
 PIECE = "array<struct<content:string,header:string,level:int,position:int,page:int>>"
 
@@ -37,7 +36,7 @@ def ingest(files: DataFrame, embed=None, size: int = chunking.SIZE) -> DataFrame
     ready = F.when(kind.isin(".html", ".htm", ".md"), normalize.clean_text(F.col("text"))).otherwise(plain)
     docs = files.where("text is not null").select(
         "filename", F.length("text").alias("_length"), enrich.doc_label(F.col("filename")).alias("_label"),
-        classify.document_type(F.col("filename"), F.col("text"), layout).alias("_kind"), classify.is_dictionary(F.col("filename"), F.col("text")).alias("_dictionary"), cut(ready).alias("_chunks"),
+        classify.document_type(F.col("filename"), F.col("text"), layout).alias("_kind"), classify.is_dictionary(F.col("filename"), F.col("text")).alias("_dictionary"), cut.asNondeterministic()(ready).alias("_chunks"),
     )
     each = docs.select("*", F.posexplode("_chunks").alias("chunk_index", "c")).drop("_chunks")
     content = enrich.prefixed(F.col("_label"), F.col("_kind"), F.col("c.header"), F.col("c.content"))
@@ -55,7 +54,3 @@ def ask(chunks: DataFrame, questions: DataFrame, k: int, embed, generate, store=
     settled, _ = store.staged(answers)
     store.log(settled)
     return settled
-
-
-def file_kind(filename: str) -> str:
-    return suffix_of(filename)

@@ -17,7 +17,7 @@ from ..sinks import store as S
 from ..sources import files as files_
 from ..sources import scans
 from ..streaming import continuous, limits
-from .views import CORPUS, LOGS, corpus, query_logs, table, work_path
+from .views import CORPUS, LOGS, corpus, documents, query_logs, table, work_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -284,7 +284,7 @@ def read_files(spark, d):
 @query()
 def ingest_documents(spark, d):
     """The whole way from extracted texts to embedded, tagged chunks."""
-    docs = table(spark, d, "documents").select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text")
+    docs = documents(spark, d).select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text")
     return ingest(docs, models.embedder(models.hash_vectors))
 
 

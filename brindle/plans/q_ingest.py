@@ -10,7 +10,8 @@ from ..operators import chunking as K
 from ..operators import enrich as E
 from ..operators import pages as P
 from ..operators import tables as T
-from .views import CELLS, CORPUS, MARKDOWN_LINES, cells, corpus, markdown_docs, table
+from ..operators.layout import spread
+from .views import CELLS, CORPUS, MARKDOWN_LINES, cells, corpus, documents, markdown_docs, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,7 +53,7 @@ def _noisy():
 
 @query(f"select doc_id, {_clean(_NOISY)} as cleaned from documents")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", N.clean_text(_noisy()).alias("cleaned"))
+    return documents(spark, d).select("doc_id", N.clean_text(_noisy()).alias("cleaned"))
 
 
 def _markdown(x: str) -> str:
@@ -109,14 +110,14 @@ _PACK = """with recursive parts as (select doc_id, case when contains(text, chr(
 
 @query(_PACK)
 def chunk_paragraphs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(K.paragraphs(F.col("text"))).alias("position", "content"))
+    return documents(spark, d).select("doc_id", F.posexplode(K.paragraphs(F.col("text"))).alias("position", "content"))
 
 
 @query(_PACK)
 def chunk_paragraphs_batched(spark, d):
     """The kernel twin of ``chunk_paragraphs``."""
     kernel = lambda t: [{"content": c, "header": None, "level": 0, "position": i} for i, c in enumerate(K.pack_paragraphs(t))]
-    return K.chunks_of(table(spark, d, "documents").select("doc_id", "text"), kernel=kernel).select("doc_id", "position", "content")
+    return K.chunks_of(documents(spark, d).select("doc_id", "text"), kernel=kernel).select("doc_id", "position", "content")
 
 
 @query("with s as (select doc_id, text, unnest(range(0, length(text), 800)) as i from documents where length(text) > 0) select doc_id, cast(i // 800 as integer) as position, substring(text, i + 1, 1000) as content from s")
@@ -195,12 +196,12 @@ def chunk_metadata(spark, d):
 
 @query()
 def clean_html(spark, d):
-    return table(spark, d, "pages").select("page_id", P.clean_html(F.col("html")).alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", P.clean_html(F.col("html")).alias("text"))
 
 
 @query("select page_id, case when regexp_matches(html, '<tbody[^>]* id') then 'teklif' when regexp_matches(html, 'dl-bold') then 'performans' else 'mali_veri' end as format from pages")
 def html_format(spark, d):
-    return table(spark, d, "pages").select("page_id", T.structured(F.col("html"))["format"].alias("format"))
+    return spread(table(spark, d, "pages")).select("page_id", T.structured(F.col("html"))["format"].alias("format"))
 
 
 @query(f"with {CELLS} select row_id, case when len(vals) >= 5 then vals[1] || ': ' || headers[2] || ' ' || vals[2] || ' ' || vals[3] || case when vals[4] = '' then '' else ', ' || headers[4] || ' ' || vals[4] || ' ' || vals[5] end end as line from cells where row_id % 2 = 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import relevance as R
 from ..functions.models import embedder, first_sentence, hash_vectors
 from ..operators import retrieval, search
-from .views import CORPUS, corpus, questions, questions_sql, settled, table
+from .views import CORPUS, corpus, documents, questions, questions_sql, settled, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -192,7 +192,7 @@ def context_sources(spark, d):
 @query()
 def hash_embed(spark, d):
     """Deterministic stand-in vectors, with their unit length checked."""
-    v = table(spark, d, "documents").select("doc_id", embedder(hash_vectors)(F.col("text")).alias("v"))
+    v = documents(spark, d).select("doc_id", embedder(hash_vectors)(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"))
 
 

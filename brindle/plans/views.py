@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.layout import spread
+
 QUESTIONS = ("Toplam limit risk ne kadar", "that edre thlyst in thonre", "kaç tutar oran the rest", "hand was of the aneth", "Limit Risk detail of note")
 
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, source, for work on texts row by row."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def work_path(spark, what: str) -> str:
     """A new path in the folder that all executors share (a temporary one where the session runs in one process)."""
     at = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
@@ -94,7 +101,7 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(page, F.when(i % 4 == 3, F.lit("# ")).when(i % 5 == 4, F.lit("### ")).otherwise(F.lit("")), x)
 
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), mark)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("preamble\n"), F.array_join(lines, "\n")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("preamble\n"), F.array_join(lines, "\n")).alias("text"))
 
 
 MARKDOWN_LINES = """raw_lines as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as x, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 as i from documents),
@@ -105,7 +112,7 @@ MARKDOWN_LINES = """raw_lines as (select doc_id, unnest(list_filter(string_split
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows: row_id, headers, values."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"))
     k, price = F.col("o_orderkey"), F.format_number(F.col("o_totalprice"), 0)
     heads = F.when(k % 2 == 0, F.array(*map(F.lit, ("Tür", "Risk", "PCN", "Limit", "Cur.")))).otherwise(F.array(*map(F.lit, ("Tür", "2023/12", "2024/6", "Not", "Döviz"))))
     return o.select(k.alias("row_id"), heads.alias("headers"), F.array("o_orderpriority", price, F.lit("TRY"), F.when(k % 3 == 0, F.lit("")).otherwise(price), F.lit("USD")).alias("values"))
