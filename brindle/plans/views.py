@@ -43,10 +43,10 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks: documents with the vector of the same number."""
+def corpus(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """Chunks: documents with the vector of the same number; with ``how`` left, also those without a vector."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    b = d.join(e, d["doc_id"] == e["vec_id"])
+    b = d.join(e, d["doc_id"] == e["vec_id"], how)
     k = F.col("doc_id")
     name = F.when(F.col("source") == "src3", "src3_sozluk.txt").when(F.col("source") == "src7", "dictionary_src7.pdf").otherwise(F.concat("source", F.lit(".txt")))
     header = F.when(k % 4 == 0, F.concat(F.lit("Limit Risk > Detail "), (k % 7).cast("string"))).when(k % 4 == 1, F.concat(F.lit("Sayfa "), (k % 9).cast("string"))).when(k % 4 == 2, F.lit("")).otherwise(F.lit("Note ends here."))
