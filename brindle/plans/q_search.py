@@ -199,7 +199,7 @@ def hash_embed(spark, d):
 def _answers(spark, d, **scope):
     embed = embedder(hash_vectors)
     chunks = settled(corpus(spark, d, "left").withColumn("embedding", embed(F.col("content"))), "chunks")
-    return retrieval.answer(chunks, questions(spark, d).select("query_id", "query"), 5, embed, first_sentence, **scope)
+    return retrieval.answer(chunks, questions(spark, d, None).select("query_id", "query"), 5, embed, first_sentence, **scope)
 
 
 @query()

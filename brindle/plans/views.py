@@ -69,10 +69,11 @@ CORPUS = """corpus as (select d.doc_id as id, d.text as content, d.lang as unit,
  from documents d join embeddings e on d.doc_id = e.vec_id)"""
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """query_id, query, qv: the first vectors, each with a question."""
+def questions(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
+    """query_id, query, qv: the first vectors, each with a question; without ``n`` every hundredth vector of all."""
+    asked = F.col("vec_id") % 100 == 0 if n is None else F.col("vec_id") < n
     q = F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("vec_id") % len(QUESTIONS) + 1).cast("int"))
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), q.alias("query"), F.col("embedding").alias("qv"))
+    return table(spark, sf_dir, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), q.alias("query"), F.col("embedding").alias("qv"))
 
 
 def questions_sql(n: int = 5) -> str:

@@ -12,3 +12,9 @@ def test_answers_search_documents_without_a_given_vector(spark, small, tmp_path,
     q_search.QUERIES["rag_end_to_end"](spark, d).collect()
     want = {r[0] for r in views.table(spark, d, "documents").select("doc_id").collect()}
     assert {r[0] for r in seen[0].where("embedding is not null").select("id").collect()} == want and len(want) > 20
+
+
+def test_answers_are_asked_every_hundredth_vector(spark, small):
+    want = {r[0] for r in views.table(spark, small, "embeddings").where("vec_id % 100 = 0").select("vec_id").collect()}
+    got = {r["query_id"] for r in q_search.QUERIES["rag_end_to_end"](spark, small).select("query_id").collect()}
+    assert got == want and max(got) >= 100
