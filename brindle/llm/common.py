@@ -59,6 +59,11 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def once(value, f):
+    """``f`` of a column's value that is computed once, however often ``f`` uses it (in its own lambdas too)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def local_path(uri: str) -> str | None:
     """The path in a mounted file system, or None where the folder is in another store."""
     if uri.startswith("file:"):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import ascii_lower, once
 
 #: Exact phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -49,11 +49,6 @@ def grams(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def once(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it (in its own lambdas too)."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def places(words: Column, phrase: str) -> Column:
     """Starts (from 0) of the phrase's words standing one after the other."""
     want = phrase.split()

@@ -1,6 +1,7 @@
 """Secret and license scans against plain Python, and that their plans hold no Python."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -50,6 +51,43 @@ def test_copied_examples_are_not_owned(spark, tmp_path):
     assert len(got) == 6 and all(r["n_owned"] == 0 and r["n_examples"] == 1 for r in got)
 
 
+def test_many_matches_in_one_text_and_a_hot_value(spark, tmp_path):
+    """A value in a third of the rows, held by one owner; and 20,000 matches in one text, spans against plain Python."""
+    long = "".join(f"é token = abcdef{i:05d} " for i in range(20_000))
+    rows = [(i, f"x secret={'hotvalue99' if i % 3 == 0 else f'v{i:09d}'}", "en", "own0", 1) for i in range(3000)] + [(9000, long, "en", "own1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in QUERIES["op5_secret_ownership"](spark, save(tmp_path, spark, documents=docs)).collect()}
+    assert len(got) == 3001 and all(got[i]["n_owned"] == 1 and got[i]["n_examples"] == 0 for i in range(3000))
+    base = base_spans(long)
+    owned = [(m.start(1), 9, m.end(1), "owned") for m in ASSIGN.finditer(long)]
+    assert got[9000]["n_assign"] == 20_000 and got[9000]["spans"] == listed(sorted(base + owned))
+
+
+def test_repositories_alone_make_an_example(spark, tmp_path):
+    rows = [(i, "secret=manyrepos77", f"l{i}", f"own{i % 2}", 1) for i in range(6)] + [(10 + i, "secret=fewrepos777", "en", f"own{i % 2}", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["n_owned"], r["n_examples"], r["most_owners"], r["most_repositories"]) for r in QUERIES["op5_secret_ownership"](spark, save(tmp_path, spark, documents=docs)).collect()}
+    assert all(got[i] == (0, 1, 2, 6) and got[10 + i] == (1, 0, 0, 0) for i in range(6))
+
+
+def test_redaction_equals_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.llm.secrets import redact
+
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        n = rng.choice([0, 1, 10, 5000, 20000])
+        text, at, want = "".join(rng.choice("aé😀\n ") for _ in range(n)), 0, ""
+        marks = sorted((s, min(n, s + rng.choice([3, 40, 9000]))) for s in (rng.randrange(n) for _ in range(rng.randint(0, 300) if n else 0)))
+        for s, e in marks:
+            want += text[at:s] + "[secret]" * (s >= at)
+            at = max(at, e)
+        rows.append((text, marks, want + text[at:]))
+    df = spark.createDataFrame(rows, "t string, m array<struct<start:bigint,end:bigint>>, w string")
+    assert df.where(redact(F.col("t"), F.col("m")) != F.col("w")).count() == 0
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
