@@ -172,19 +172,21 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int
     def run(batches):
         t = tokenizer(spec.value)
         for b in batches:
-            rows, blobs = [], []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = t.ids(text, end_id)
-                for i, (s, n) in enumerate(cut(len(ids), capacity)):
-                    blob = ids[s : s + n].tobytes()
-                    rows.append((d, i, s, n, zlib.crc32(blob)))
-                    if with_ids:
-                        blobs.append(blob)
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(blobs, pa.binary())] * with_ids, names + ["ids"] * with_ids)
+            names, at = b.column(0), 0
+            for ids, ends in t.slices(b.column(1), end_id):
+                n = np.diff(ends)
+                whole, head = n // capacity, n % capacity
+                each = whole + (head > 0)  # pieces of a document; what is left over comes first
+                owner = np.repeat(np.arange(len(n)), each)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+                short = head[owner] > 0
+                start = np.where(short & (piece > 0), head[owner] + (piece - 1) * capacity, piece * capacity)
+                length = np.where(short & (piece == 0), head[owner], capacity)
+                raw, lo = memoryview(ids.astype("<u4").tobytes()), (ends[owner] + start) * 4
+                blobs = [raw[x:y] for x, y in zip(lo.tolist(), (lo + length * 4).tolist())]
+                arrays = [names.take(pa.array(at + owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(map(zlib.crc32, blobs), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(map(bytes, blobs), pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                at += len(n)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
 

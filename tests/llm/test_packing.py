@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -25,6 +26,10 @@ def test_ids_are_the_librarys(spark, small, name):
     texts = ODD + [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
     rng = random.Random(1)
     texts += ["".join(rng.choice("aB \n\t'.éİ1<|>") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    rows = iter(texts)
+    for ids, ends in mine.slices(pa.array([*texts, None]), 9):
+        for a, b in zip(ends, ends[1:]):
+            assert ids[a:b].tolist() == [*full.encode(next(rows, ""), add_special_tokens=False).ids, 9]
     for t in texts:
         assert mine.ids(t).tolist() == full.encode(t, add_special_tokens=False).ids, t
 
@@ -96,6 +101,24 @@ def test_token_files_round_trip(spark, tmp_path):
     assert got == want
 
 
+def test_ids_above_sixteen_bits(spark, tmp_path):
+    """A vocabulary whose ids do not fit 16 bits is written 32 bits wide."""
+    import json
+
+    spec = json.loads(read_spec(vocabulary("byte_bpe_50k.json")))
+    spec["model"]["vocab"] = {w: i + (70_000 if i >= 300 else 0) for w, i in spec["model"]["vocab"].items()}
+    spec["added_tokens"] = []
+    at = tmp_path / "wide.json"
+    at.write_text(json.dumps(spec))
+    docs, full = documents(spark, 5), Tokenizer.from_file(str(at))
+    path = new_path(spark, "wide")
+    manifest = tokenfile.write_tokens(docs, str(at), 1, path)
+    assert {m[5] for m in manifest} == {4}
+    got = sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in tokenfile.read_tokens(spark, path, manifest, with_ids=True).collect())
+    want = sorted([*full.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs.collect())
+    assert got == want and max(map(max, got)) > 65_535
+
+
 def test_ids_come_back_from_files(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     path = new_path(spark, "t")
