@@ -84,6 +84,25 @@ def test_exchanges_empty_a_bin():
     assert sum(packing.improve(bins, 10).values()) == 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_search_reaches_a_known_optimum(seed):
+    """3,000 full bins cut into four pieces each: best fit needs one more, the search does not."""
+    rng, lengths = random.Random(seed), Counter()
+    for _ in range(3000):
+        cuts = [0, *sorted(rng.sample(range(1, 2048), 3)), 2048]
+        lengths.update(b - a for a, b in zip(cuts, cuts[1:]))
+    first = packing.best_fit(lengths, 2048)
+    better = packing.improve(first, 2048)
+    assert sum(first.values()) == 3001 and sum(better.values()) == 3000
+    assert sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in better.items()), Counter()) == lengths
+
+
+def test_search_is_the_same_for_many_equal_bins():
+    """Counts of a million bins cost no more than single ones."""
+    bins = Counter({(6, 3): 10**6, (5, 3): 10**6, (2, 1): 10**6})
+    assert sum(packing.improve(bins, 10).values()) == 2 * 10**6
+
+
 def test_pieces_of_long_documents():
     assert packing.cut(0, 10) == [] and packing.cut(10, 10) == [(0, 10)] and packing.cut(25, 10) == [(0, 5), (5, 10), (15, 10)]
 
