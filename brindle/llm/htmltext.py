@@ -1,9 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides by region (menus, headers, footers, sidebars,
-notices, adverts, forms, comments), by link density, by length and by stop-word density; short blocks stay open. In the
-second pass an open block takes the label of its nearest decided neighbour; between two unlike neighbours the nearer
-one counts, and at equal distance the good one. Kept blocks are joined by line ends in page order.
+A page is cut into blocks at block-level tags. The first pass classifies every block by link density, length and
+stop-word density: blocks full of links are not text, long enough blocks with the density of function words that prose
+has are, and the rest stays open, above all short blocks. A block's region is one more input: what lies in menus, headers,
+footers, sidebars, notices, adverts, forms or comments, or outside the page's article, is never text; inside an article
+links alone do not decide (a paragraph may be one link). In the second pass an open block takes the label of its nearest
+decided neighbour; between two unlike neighbours the nearer one counts, and at equal distance the good one. Kept blocks
+are joined by line ends in page order.
 
 Inside a block, white space becomes one space; one ``<br>`` counts as white space and two or more part blocks. Tags are
 read as browsers do where it matters here: a ``<p>`` ends at the next block, raw text ends at its own end tag only, a
@@ -30,7 +33,7 @@ TOKEN = re.compile(
 NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe textarea title template select option svg math object canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript iframe textarea title template select option svg object canvas noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption head".split()
 )
@@ -38,29 +41,31 @@ REGION = frozenset("nav footer aside form header dialog menu button label fields
 MAIN = frozenset(("article", "main"))
 #: Words of class and id names, roles included, that name what is not the article.
 WORDS = re.compile(
-    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|aside|widgets?|menus?|nav\w*|breadcrumbs?|foot|footer|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|reactions?|shar(?:e|ing)|social|follow|related|recommend\w*|pagination|pager|search\w*|skip|contentinfo|complementary|navigation|dialog|copyright|legal|disclaimer|form|tags?|byline|toc", re.I
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar|side|aside|widgets?|menus?|nav\w*|breadcrumbs?|foot|footer|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|reactions?|shar(?:e|ing)|social|follow|related|recommend\w*|pagination|pager|search\w*|skip|contentinfo|complementary|navigation|dialog|copyright|legal|disclaimer|form|tags?|toc", re.I
 )
-#: The last word of a compound name says what the element is: post-header, comment-list; these say it is a mere frame.
-FRAME = re.compile(r"(?:has|no|with|without|page|site|layout|is|single)$", re.I)
+#: Words with which a name only tells what else a frame holds (has-sidebar), and last words that name the frame itself
+#: (sidebar-page). An article's own header holds its title.
+FRAME, FRAMES, TITLES = frozenset("has no with without is single".split()), frozenset("page layout site template".split()), frozenset(("header", "masthead"))
 MAIN_NAMES = re.compile(r"(?<![\w])(?:article|article-?body|post-?body|post-?content|entry-?content|entry|main-?content|story|story-?body)(?![\w])", re.I)
 
-SHORT, LONG, LINKS, STOPS = 70, 200, 0.4, 0.2
+#: Characters below which a block is short; links from this share of its letters on; function words from this share of its words on.
+SHORT, LINKS, STOPS = 70, 0.4, 0.2
 
 
-def names_region(attributes: str) -> tuple[bool, bool]:
-    """(the attributes name something that is not the article, they name the article)."""
+def names_region(attributes: str) -> tuple[set[str], bool]:
+    """(words that name something that is not the article, the attributes name the article)."""
     if not attributes.strip():
-        return False, False
-    bad = main = False
+        return set(), False
+    bad, main = set(), False
     for key, a, b, c in NAMED.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            bad = True
+            bad.add("hidden")
         elif key in ("class", "id", "role"):
             for name in value.split():
-                words = re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name).replace("_", "-").split("-")
-                if not FRAME.match(words[0]) and any(WORDS.fullmatch(w) for w in words):
-                    bad = True
+                words = re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name).replace("_", "-").lower().split("-")
+                if words[-1] not in FRAMES and not FRAME.intersection(words):
+                    bad.update(w for w in words if WORDS.fullmatch(w))
             main = main or bool(MAIN_NAMES.search(value)) or value.lower() == "main"
     return bad, main and not bad
 
@@ -94,7 +99,7 @@ class Page:
             elif tag in RAW and not m[3].rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
                 at = (html.find(">", stop.start()) + 1 or n) if stop else n
-                if tag == "iframe" or tag in ("object", "svg", "canvas", "math"):
+                if tag in ("iframe", "object", "svg", "canvas"):
                     self.text(" ")
             else:
                 self.open(tag, m[3])
@@ -131,14 +136,12 @@ class Page:
         if tag in VOID:
             return
         _, out, main = self.stack[-1] if self.stack else ("", False, False)
-        bad, named = names_region(attributes) if tag not in ("html", "body", "a") else (False, False)
+        words, named = names_region(attributes) if tag not in ("html", "body", "a") else (set(), False)
+        bad = bool(words - TITLES if main else words)
         if tag in MAIN or (named and tag in ("div", "section", "td")):
             inside = main and tag == "article"
             out, main = (bad or (out and inside)), not bad
-        elif tag == "header" and main:
-            bad = False
-            out = out or False
-        elif bad or tag in REGION:
+        elif bad or (tag in REGION and not (tag == "header" and main)):
             out = True
         self.stack.append((tag, out, main))
         if tag == "a":
@@ -185,44 +188,48 @@ def stop_density(text: str) -> float:
     return sum(w.strip(b".,;:!?") in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def classify(blocks: list) -> list[bool]:
-    """True for each block of the main text."""
+def first_pass(blocks: list) -> list[bool | None]:
+    """True: text; False: not text; None: open."""
     article = any(main and not out for _, _, out, main, _ in blocks)
     labels: list[bool | None] = []
-    for text, links, out, main, heading in blocks:
+    for text, links, out, main, _ in blocks:
         if out or (article and not main):
             labels.append(False)
-        elif links > LINKS and (not article or links > 0.9):
-            labels.append(False if not article or len(text) < LONG else True)
-        elif article:
-            labels.append(True if heading or len(text) >= SHORT else None)
-        elif text.startswith(("©", "(c)", "Copyright")):
+        elif links > LINKS:
+            labels.append(None if article else False)
+        elif text.startswith(("©", "(c)", "Copyright")) and not article:
             labels.append(False)
-        elif len(text) < SHORT:
-            labels.append(None)
-        elif stop_density(text) >= STOPS:
+        elif len(text) >= SHORT and stop_density(text) >= STOPS:
             labels.append(True)
         else:
-            labels.append(True if len(text) >= LONG else None)
-    final = list(labels)
-    votes = [x is not None and not b[2] for x, b in zip(labels, blocks)]  # what a region decided says nothing of its neighbours
+            labels.append(None)
+    return labels
+
+
+def second_pass(labels: list[bool | None], blocks: list) -> list[bool]:
+    """Open blocks take their nearest decided neighbour's label. What a region has decided says nothing of its neighbours;
+    without any decided neighbour an open block is text."""
+    article = any(main and not out for _, _, out, main, _ in blocks)
+    votes = [x is not None and not out and (main or not article) for x, (_, _, out, main, _) in zip(labels, blocks)]
     before, marks = None, []
-    for i in range(len(labels)):
-        before = i if votes[i] else before
+    for i, vote in enumerate(votes):
+        before = i if vote else before
         marks.append(before)
-    after = None
+    after, final = None, list(labels)
     for i in range(len(labels) - 1, -1, -1):
         after = i if votes[i] else after
-        if labels[i] is not None:
-            continue
-        near = [(abs(i - j), not labels[j]) for j in (marks[i], after) if j is not None]
-        if article:  # its region has decided for an open block of the article
-            final[i] = True
-        else:
+        if labels[i] is None:
+            near = [(abs(i - j), not labels[j]) for j in (marks[i], after) if j is not None]
             final[i] = not min(near)[1] if near else True
-    if not article and blocks and not any(final):
-        final = [not out and links <= LINKS for _, links, out, _, _ in blocks]
-    return [bool(x) for x in final]
+    return final
+
+
+def classify(blocks: list) -> list[bool]:
+    """True for each block of the main text."""
+    final = second_pass(first_pass(blocks), blocks)
+    if any(final):
+        return final
+    return [not out and links <= LINKS for _, links, out, _, _ in blocks]  # a page without prose: what is no link and in no region
 
 
 def main_text(html: str | None) -> str:

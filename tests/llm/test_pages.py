@@ -84,6 +84,39 @@ def test_main_text(html, want):
     assert htmltext.main_text(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<article><div class='section-header'><h2>Part one</h2></div><p>{ARTICLE}</p><p><a href=x>{ARTICLE}</a></p></article>", f"Part one\n{ARTICLE}\n{ARTICLE}"),
+    (f"<div class='site-header'>{ARTICLE}</div><div class='has-sidebar'><p>{ARTICLE} One.</p></div><div class='page-sidebar'>{ARTICLE}</div><div id='site-nav'>{ARTICLE}</div><div class='site-footer'>{ARTICLE}</div><div class=page-footer>{ARTICLE}</div>", f"{ARTICLE} One."),
+    (f"<div class='sidebar-page'><p>{ARTICLE}</p><p>E = <math><mi>m</mi>c</math></p></div>", f"{ARTICLE}\nE = mc"),
+    ("<div><p>Wortlos xyz.</p><ul><li><a href=a>Link</a></li></ul></div>", "Wortlos xyz."),
+])
+def test_regions_and_links(html, want):
+    assert htmltext.main_text(html) == want
+
+
+def test_both_passes_decide_real_pages(spark):
+    """Text of every page against a plain cut of its article; and each pass decides blocks of its own."""
+    import html as lib
+    import os
+    import re
+
+    at = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(at):
+        pytest.skip("the test tables are not here")
+    first = second = 0
+    for r in spark.read.parquet(at).collect():
+        inner = re.search(r"<article[^>]*>(.*?)</article>", r["html"], re.S)[1]
+        inner = re.sub(r"<!--.*?-->|<(script|style|form|aside|nav|footer)\b.*?</\1>", "", inner, flags=re.S)
+        parts = [" ".join(lib.unescape(re.sub(r"<br\s*/?>", " ", x)).split()) for x in re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|table|tr|td|blockquote|pre|header)\b[^>]*>", inner)]
+        want = [x for x in (" ".join(re.sub(r"<[^>]*>", "", p).split()) for p in parts) if x]
+        assert htmltext.main_text(r["html"]) == "\n".join(want), r["page_id"]
+        blocks = htmltext.Page(r["html"]).blocks
+        labels = htmltext.first_pass(blocks)
+        first += sum(x is True for x in labels)
+        second += sum(x is None and y for x, y in zip(labels, htmltext.second_pass(labels, blocks)))
+    assert first > 100 and second > 100
+
+
 def test_short_blocks_follow_their_neighbours():
     blocks = [(ARTICLE, 0.0, False, False, False), ("Short.", 0.0, False, False, False), ("a b", 1.0, False, False, False), ("c", 0.0, False, False, False)]
     assert htmltext.classify(blocks) == [True, True, False, False]
@@ -92,7 +125,7 @@ def test_short_blocks_follow_their_neighbours():
 def test_query_over_pages(spark, small, tmp_path):
     got = QUERIES["op10_html_blocks"](spark, small).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) > 0 for r in got)
-    d = save(tmp_path, spark, pages=pages(spark))
+    d = save(tmp_path, spark, pages=pages(spark).selectExpr("*", "sha1 as text", "page as n_chars", "url as TEXT_2"))
     assert QUERIES["op10_html_blocks"](spark, d).count() == 12
     none = save(tmp_path, spark, pages=pages(spark).where("false"))
     assert QUERIES["op10_html_blocks"](spark, none).count() == 0 and QUERIES["op8_warc_segments"](spark, none).count() == 0
