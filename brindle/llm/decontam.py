@@ -5,14 +5,18 @@ edits leaves, by the pigeonhole principle, a short run of the item's words in pl
 with enough of the item's words in them, are looked at: neither test loses a match. What is left is embedded by CGK
 random walks (a walk repeats or passes each word by a random bit of the word and the step), which maps edit distance
 to Hamming distance; tables sample positions of the walks, and a window that agrees with the item in any table is
-verified by exact edit distance (over all ends of the window). The number of tables follows from the target recall:
-it is measured on edited copies of the items on the driver, where table counts double until the target is reached.
+verified by exact edit distance (over all ends of the window). The number of tables follows from the target recall: it
+is measured once on edited copies of a sample of all items (``TRIED`` at most, picked by hash), where table count doubles
+until the target is reached. Should ``TABLES`` not reach it, every candidate window is verified, which loses none.
 
 The documents are read where they lie: no shuffle, no pairs of documents. Items come to the executors in blocks of
-bounded size (``BLOCK_WORDS``); with more, further passes are made, none is left out.
+bounded size (``BLOCK_WORDS``); with more, further passes are made, none is left out. Walks follow the words' own hashes
+and the one number of tables, so what is found does not depend on the blocks.
 
-Defined cases: null or wordless items match nothing; a null text holds no item; letters' case and ASCII punctuation do
-not count; items of fewer words than five must occur exactly; repeated rows are judged alike; other columns stay.
+Defined cases: null or wordless items match nothing; an item without an id is looked for like any other and reported
+with a null id; of items with equal ids each is looked for; a null text holds no item; letters' case and ASCII
+punctuation do not count; items of fewer words than five must occur exactly; a text of any length is read whole;
+repeated rows are judged alike; an empty table of documents or items gives rows without items; other columns stay.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .common import fresh
 BLOCK_WORDS = 2_000_000
 #: Edits allowed, as a share of an item's words; sampled positions of a table; recall to reach; tables at most.
 EDITS, SAMPLED, RECALL, TABLES = 0.2, 3, 0.99, 256
+#: Items on whose edited copies recall is measured, and copies made in all.
+TRIED, COPIES = 400, 1000
 
 _CLEAR = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -46,6 +52,13 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def codes(words: list[bytes]) -> np.ndarray:
+    """A number for each word, the same wherever the word stands."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w, 11) or 1 for w in words), np.uint64, len(words))
+
+
 def edit_distance(item: list, text: list, most: int) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of ``text`` nearest to ``item``; distance most + 1 if none is near."""
     row, starts = [0] * (len(text) + 1), list(range(len(text) + 1))
@@ -69,8 +82,9 @@ def edit_distance(item: list, text: list, most: int) -> tuple[int, int, int]:
 class Items:
     """Benchmark items as numbers, seeds and walks."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], edits: float = EDITS, recall: float = RECALL):
-        self.ids = [i for i, w in items if w]
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], edits: float = EDITS, tables: int = 8):
+        """``tables``: as ``choose`` has it for all items; 0: every candidate is verified."""
+        self.ids, self.tables = [i for i, w in items if w], tables
         texts = [w for _, w in items if w]
         self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(x for t in texts for x in t), 1)}
         self.texts = [np.array([self.vocabulary[x] for x in t], np.int64) for t in texts]
@@ -90,8 +104,8 @@ class Items:
             table = np.zeros(1 << 20, bool)
             table[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.sift[length] = table
-        self.tables, self.reached = self.choose(recall) if self.ids else (1, 1.0)
-        self.keys = self.embed(np.arange(len(self.texts)), [t for t in self.texts], self.tables) if self.ids else None
+        self.codes = [codes(t) for t in texts]
+        self.keys = self.embed(np.arange(len(self.texts)), self.codes, tables) if self.ids and tables else None
 
     def member(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Whether the items hold the words: a search among the (item, word) pairs, whose number is that of the words."""
@@ -108,7 +122,7 @@ class Items:
         return mix(h)
 
     def embed(self, item: np.ndarray, windows: list[np.ndarray], tables: int) -> np.ndarray:
-        """Table keys of windows: each table walks on its own and samples positions of the item's size."""
+        """Table keys of windows (as ``codes``): each table walks on its own and samples positions of the item's size."""
         if len(windows) > 2000:
             return np.concatenate([self.embed(item[i : i + 2000], windows[i : i + 2000], tables) for i in range(0, len(windows), 2000)])
         wide = int(self.size[item].max(initial=1))
@@ -130,31 +144,38 @@ class Items:
         return key
 
     def choose(self, recall: float) -> tuple[int, float]:
-        """Tables that reach the recall on copies with as many random edits as allowed, seeds' starts being tried."""
+        """(tables that reach the recall on copies with as many random edits as allowed, seeds' starts being tried; the
+        recall reached). No tables: ``TABLES`` do not reach it. Words are exchanged for other items' and for unknown ones."""
+        if not self.ids:
+            return 1, 1.0
         rng, tries, item = np.random.default_rng(5), [], []
-        for _ in range(max(1, 400 // len(self.texts))):
-            for i, t in enumerate(self.texts[:400]):
+        pool, unknown = np.concatenate(self.codes), np.uint64(1)
+        known = {int(c): n for t, w in zip(self.texts, self.codes) for c, n in zip(w, t)}
+        for _ in range(-(-COPIES // len(self.texts))):
+            for i, t in enumerate(self.codes):
                 w = t.tolist()
                 for _ in range(int(self.most[i])):
-                    at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+                    at, kind, new = int(rng.integers(len(w))), int(rng.integers(3)), int(rng.choice(pool) if rng.integers(2) else unknown)
                     if kind == 0:
-                        w[at] = 0
+                        w[at] = new
                     elif kind == 1:
-                        w.insert(at, 0)
+                        w.insert(at, new)
                     elif len(w) > 1:
                         del w[at]
-                tries.append(np.array(w, np.int64))
+                tries.append(np.array(w, np.uint64))
                 item.append(i)
         item = np.array(item)
-        starts = [(j, o) for j, w in enumerate(tries) for o in self.offsets(item[j], w)]
-        windows = [tries[j][o:] if o >= 0 else np.concatenate([np.zeros(-o, np.int64), tries[j]]) for j, o in starts]
+        starts = [(j, o) for j, w in enumerate(tries) for o in self.offsets(item[j], np.array([known.get(int(x), 0) for x in w], np.int64))]
+        windows = [tries[j][o:] if o >= 0 else np.concatenate([np.zeros(-o, np.uint64), tries[j]]) for j, o in starts]
         owner, tables = np.array([j for j, _ in starts], np.int64), 8
         while True:
-            mine, own = self.embed(item[owner], windows, tables), self.embed(np.arange(len(self.texts)), self.texts, tables)
+            mine, own = self.embed(item[owner], windows, tables), self.embed(np.arange(len(self.texts)), self.codes, tables)
             hit = (mine == own[item[owner]]).any(1)
             got = len(np.unique(owner[hit])) / len(tries)
-            if got >= recall or tables >= TABLES:
+            if got >= recall:
                 return tables, got
+            if tables >= TABLES:
+                return 0, 1.0
             tables *= 2
 
     def offsets(self, i: int, words: np.ndarray) -> list[int]:
@@ -174,8 +195,8 @@ class Items:
             return [[] for _ in texts]
         get, parts, ends = self.vocabulary.get, [], []
         total = 0
-        for t in texts:
-            w = words_of(t)
+        held = [words_of(t) for t in texts]
+        for w in held:
             parts.append(np.fromiter(map(get, w, repeat(0)), np.int64, len(w)))
             total += len(w) + 1
             ends.append(total)
@@ -200,10 +221,10 @@ class Items:
             return [[] for _ in texts]
         cand = np.unique(np.concatenate(found), axis=0)
         for lo in range(0, len(cand), 20_000):
-            self.verify(cand[lo : lo + 20_000], words, ends, parts, out)
+            self.verify(cand[lo : lo + 20_000], words, ends, held, out)
         return [[(self.ids[i], s, e, d) for i, (d, s, e) in sorted(x.items())] for x in out]
 
-    def verify(self, cand: np.ndarray, words: np.ndarray, ends: np.ndarray, parts: list, out: list[dict]) -> None:
+    def verify(self, cand: np.ndarray, words: np.ndarray, ends: np.ndarray, held: list[list[bytes]], out: list[dict]) -> None:
         doc, item, start = cand.T
         first, last = np.where(doc > 0, ends[doc - 1], 0), ends[doc] - 1
         size, most = self.size[item], self.most[item]
@@ -215,12 +236,13 @@ class Items:
         keep = np.flatnonzero(enough >= size - most)
         if not len(keep):
             return
-        windows = []
-        for c in keep.tolist():
-            a, b = int(max(start[c], first[c])), int(min(start[c] + size[c], last[c]))
-            windows.append(np.concatenate([np.zeros(int(max(0, first[c] - start[c])), np.int64), words[a:b]]))
-        keys = self.embed(item[keep], windows, self.tables)
-        hit = keep[(keys == self.keys[item[keep]]).any(1)]
+        hit = keep
+        if self.tables:
+            windows = []
+            for c in keep.tolist():
+                a, b, z = int(max(start[c], first[c])), int(min(start[c] + size[c], last[c])), int(first[c])
+                windows.append(np.concatenate([np.zeros(int(max(0, z - start[c])), np.uint64), codes(held[doc[c]][a - z : b - z])]))
+            hit = keep[(self.embed(item[keep], windows, self.tables) == self.keys[item[keep]]).any(1)]
         for c in hit.tolist():
             d, i, k = int(doc[c]), int(item[c]), int(most[c])
             a, b = int(max(first[c], start[c] - k)), int(hi[c])
@@ -239,15 +261,17 @@ _KIND = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "first_word", "
 def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
     """``docs`` with a column ``into`` added: the benchmark items in each text, with their places and distances."""
     spark, plain = docs.sparkSession, docs.drop(into)
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / 4 / BLOCK_WORDS))
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    key = F.xxhash64("i", "t")
+    blocks = max(1, math.ceil((items.agg(F.sum(F.length("t"))).first()[0] or 0) / 4 / BLOCK_WORDS))
+    tried = items.orderBy(key, "t").limit(TRIED).collect()
+    tables, _ = Items([(r[0], words_of(r[1])) for r in tried], edits).choose(recall)
     out = plain.withColumn(into, F.expr(f"cast(array() as {SPANS})"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + f", `{into}` {SPANS}"
     at, width = plain.columns.index(text_col), len(plain.columns)
     for block in range(blocks):
-        rows = sorted(items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect())
-        shared = spark.sparkContext.broadcast(Items([(r[0], words_of(r[1])) for r in rows], edits, recall))
+        rows = sorted(items.where(F.pmod(key, F.lit(blocks)) == block).collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        shared = spark.sparkContext.broadcast(Items([(r[0], words_of(r[1])) for r in rows], edits, tables))
 
         def run(batches, shared=shared):
             for b in batches:

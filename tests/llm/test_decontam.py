@@ -2,8 +2,6 @@
 
 import random
 
-import numpy as np
-
 from brindle.llm import decontam
 from brindle.llm.queries import QUERIES
 from tests.llm.data import documents, empty, save, words
@@ -41,7 +39,7 @@ def planted(spark):
                     del t[at]
             rows.append((len(rows) + 1000, f"{words(rng, 15)} {' '.join(t).upper()}. {words(rng, 10)}", "en", "s", 1))
     docs = documents(spark, 20, clashing=True).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
-    bench = spark.createDataFrame([*items, (None, "no id"), (900, None), (901, ""), (902, "very few words")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (None, "an item that has no id of its own"), (900, None), (901, ""), (902, "very few words")], "item_id long, text string")
     return docs, bench
 
 
@@ -64,7 +62,7 @@ def test_recall_against_brute_force(spark, tmp_path):
             want += near
             hits += near and has
             extra += has and not near
-    assert extra == 0 and want > 80 and hits >= 0.97 * want
+    assert extra == 0 and want > 80 and hits >= 0.99 * want
     rows = QUERIES["op4_benchmark_decontamination"](spark, d).collect()
     assert len(rows) == docs.count() and sum(r["contaminated"] for r in rows) == sum(bool(r["leaks"]) for r in found)
     kept = decontam.decontaminate(docs, bench)
@@ -76,8 +74,26 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch):
     whole = {(r["doc_id"], r["text"]): sorted(x["item_id"] for x in r["leaks"]) for r in decontam.find_items(docs, bench).collect()}
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 400)
     parts = {(r["doc_id"], r["text"]): sorted(x["item_id"] for x in r["leaks"]) for r in decontam.find_items(docs, bench).collect()}
-    same = np.mean([whole[k] == parts[k] for k in whole])
-    assert same > 0.97  # the tables drawn differ
+    assert whole == parts
+
+
+def test_items_without_an_id_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "here an item that has no id of its own stands"), (2, "and the other one with five words more"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "an item that has no id of its own"), (7, "something else that is not here"), (7, "the other one with five words")], "item_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontam.find_items(docs, bench).collect()}
+    assert got == {1: [None], 2: [7], 3: []}
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [3]
+
+
+def test_without_enough_tables_all_candidates_are_verified(spark, monkeypatch):
+    docs, bench = planted(spark)
+    monkeypatch.setattr(decontam, "TABLES", 1)
+    items = [(r["item_id"], decontam.words_of(r["text"])) for r in bench.collect()]
+    assert decontam.Items(items).choose(1.1) == (0, 1.0)
+    every = {(r["doc_id"], r["text"]): {x["item_id"] for x in r["leaks"]} for r in decontam.find_items(docs, bench, recall=1.1).collect()}
+    for (_, text), found in every.items():
+        if len(text or "") < 5000:
+            assert found == {i for i, w in items if w and nearest(w, decontam.words_of(text)) <= (int(0.2 * len(w)) if len(w) >= 5 else 0)}
 
 
 def test_empty_tables(spark):
