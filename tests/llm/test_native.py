@@ -122,6 +122,61 @@ def test_licenses_equal_plain_python(spark, tmp_path):
     assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
 
 
+def likeness(template, words):
+    """(similarity, start, end) of the stretch of words most like the template, by plain edit distance."""
+    row = [(0, j) for j in range(len(words) + 1)]
+    for i, x in enumerate(template, 1):
+        new = [(i, 0)]
+        for j, y in enumerate(words, 1):
+            new.append(min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+        row = new
+    distance, start = min(row)
+    return 1 - distance / len(template), start, row.index((distance, start))
+
+
+def test_labels_against_brute_force(spark, tmp_path):
+    """Notices with edits among other words: labels by the edit distance of every template to every stretch of the text."""
+    from brindle.llm import licenses
+
+    rng, rows = random.Random(8), []
+    filler = "river stone window garden paper orange yellow system report number any the of in this".split()
+    for i in range(60):
+        words = [rng.choice(filler) for _ in range(rng.randint(0, 40))]
+        for label, text in rng.sample(licenses.TEMPLATES, rng.choice([0, 1, 1, 2])):
+            w = licenses.words_of(text)
+            for _ in range(rng.choice([0, 0, 1, len(w) // 10, len(w) // 3, len(w) // 2])):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["river"], [w[at], "stone"]])
+            words += w + [rng.choice(filler) for _ in range(rng.randint(10, 30))]
+        rows.append((i, ", ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    templates, same, wrong = [(x, licenses.words_of(t)) for x, t in licenses.TEMPLATES], 0, []
+    for r in licenses.scan(docs).collect():
+        words = WORD.findall(rows[r["doc_id"]][1])
+        want, best = set(r["base"]), (1.0,)
+        while best[0] >= licenses.SIMILAR:
+            best = max((*likeness(t, words), label) for label, t in templates)
+            if best[0] >= licenses.SIMILAR:
+                want.add(best[3])
+                words[best[1] : best[2]] = [None] * (best[2] - best[1])
+        same += set(r["labels"]) == want
+        if set(r["labels"]) - want:
+            wrong.append((r["doc_id"], r["labels"], want))
+    assert not wrong and same >= 57  # a notice whose edits leave few k-grams whole may have too few votes
+
+
+def test_many_notices_in_one_text_and_parts(spark, tmp_path):
+    from brindle.llm import licenses
+
+    agpl = dict(licenses.TEMPLATES)["agpl"]
+    half = " ".join(licenses.words_of(licenses.TEMPLATES[0][1])[:30])
+    rows = [(1, (dict(licenses.TEMPLATES)["isc"] + ". word " * 20) * 3000, "en", "s", 1), (2, f"x {agpl}. y", "en", "s", 1), (3, half, "en", "s", 1), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert len(got[1]["spans"]) == 3000 and got[1]["labels"] == ["isc"]
+    assert got[2]["labels"] == ["agpl"] and got[2]["score"] == 1.0 and got[3]["labels"] == [] and got[4]["labels"] == []
+
+
 def test_real_tables(spark, small):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in QUERIES["op9_license_diagonals"](spark, small).collect():
