@@ -6,8 +6,8 @@ are the forest's inputs: trees split them at random, and texts that few splits i
 anomaly score. The threshold is calibrated over all labelled rows, by a histogram of their scores.
 
 Defined cases: a null text has no words (base_failed); null labels are left out, repeated labels of a document count
-once by their mean, ties are left out; without labels of both kinds the forest rejects nothing; repeated rows are
-judged alike; an empty table gives an empty result; other columns are ignored.
+once by their mean, ties are left out; of rows with equal ids the one with the least features is fitted on; without
+labels of both kinds the forest rejects nothing; repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .ranking import bounded
+from .ranking import gathered, labelled, one_label
 from .textstats import FEATURES, base_rules, features
 
 #: Labelled rows that fitting gathers at most; trees, rows of a tree, depth.
@@ -121,10 +121,9 @@ def calibrate(counts: list[tuple[int, bool, int]], loss: float = LOSS) -> float:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs``: the base statistics, base_failed, anomaly (0 to 1) and kept."""
     stats = settle(statistics(docs, id_col, text_col), "rules")
-    y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(label_col).alias("y")).where("y <> 0.5")
-    rows = stats.join(F.broadcast(bounded(y, "doc_id", sample)), "doc_id").select("x", "y").collect()
-    x = np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(-1, len(FEATURES)).astype(np.float64)
-    forest = docs.sparkSession.sparkContext.broadcast(Forest(x, np.array([r[1] > 0.5 for r in rows], bool)))
+    y = one_label(labels, None, id_col, label_col)
+    rows = labelled(stats.select(F.col("doc_id").alias("_id"), F.col("x").alias("_x")), y)
+    forest = docs.sparkSession.sparkContext.broadcast(Forest(*gathered(rows, sample)))
     names = [c for c in stats.columns if c != "x"]
 
     def run(batches):
@@ -133,7 +132,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(forest.value.score(v))], [*names, "anomaly"])
 
     scored = stats.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", anomaly double")
-    bins = scored.join(y, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), (F.col("y") > 0.5).alias("good")).count().collect()  # 2 * BINS rows at most
+    bins = scored.join(y, F.col("doc_id") == F.col("_id")).groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"), (F.col("_y") > 0.5).alias("good")).count().collect()  # 2 * BINS rows at most
     threshold = calibrate([tuple(r) for r in bins])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < F.lit(threshold)))

@@ -6,7 +6,8 @@
    d <= m and right otherwise; a right point with d <= m + r also visits the left shard. By the triangle inequality two
    points within r of each other then always share a shard, so every link is found.
 3. Within a shard the same rule is applied again down to blocks of ``BLOCK`` points, which are compared in full. A
-   shard returns a spanning forest of its links, never all pairs.
+   shard returns a spanning forest of its links, never all pairs. A shard that no vantage divides (a dense cloud of
+   distinct points) is cut into cells of ``CELL`` points by hash, and each pair of cells is a task of its own.
 4. Forests are joined by alternating large-star and small-star steps, each settled in the shared folder.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any other; a text of fewer
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import settle
 
 #: Fingerprints that the driver may gather to place vantage points (8 bytes each).
-TREE_SAMPLE = 32_768
-#: Points of a shard that the tree aims at, and points that are compared in full.
-SHARD, BLOCK = 600, 512
+TREE_SAMPLE = 131_072
+#: Points of a shard that the tree aims at, of a cell of a dense shard, and points that are compared in full.
+SHARD, CELL, BLOCK = 2048, 8192, 512
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -81,16 +82,17 @@ def best_split(points: np.ndarray, radius: int, tries: int = 6) -> tuple[int, in
     return found if found and best < 0.9 else None
 
 
-def build_tree(sample: np.ndarray, shards: int, radius: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, distance, left, right); a child below zero is the shard -1 - child."""
+def build_tree(sample: np.ndarray, shards: float, radius: int) -> tuple[list[tuple[int, int, int, int]], list[float]]:
+    """(nodes (vantage, distance, left, right), a child below zero being the shard -1 - child; for each shard how many
+    shards' points it is expected to hold if no vantage divides it, else 1)."""
     nodes: list = []
-    made = [0]
+    dense: list[float] = []
 
     def grow(points: np.ndarray, want: float) -> int:
         split = best_split(points, radius) if want > 1.5 and len(points) >= 16 else None
         if split is None:
-            made[0] += 1
-            return -made[0]
+            dense.append(want if len(points) >= 16 else 1.0)
+            return -len(dense)
         at = len(nodes)
         nodes.append(None)
         d = distance(points, split[0])
@@ -99,7 +101,7 @@ def build_tree(sample: np.ndarray, shards: int, radius: int) -> list[tuple[int,
         return at
 
     root = grow(sample, shards)
-    return nodes or [(0, 64, root, root)]
+    return nodes or [(0, 64, root, root)], dense
 
 
 def route(nodes: list, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,19 +181,25 @@ def link_edges(points: DataFrame, n: int, radius: int) -> DataFrame:
     mask = (1 << 30) - 1
     share = min(1.0, TREE_SAMPLE / max(n, 1))
     picked = points.where(F.xxhash64("fp").bitwiseAND(F.lit(mask)) < F.lit(int(share * mask) + 1)).collect()
-    nodes = build_tree(np.sort(np.array([r[0] for r in picked], np.int64)).view(np.uint64), max(1, n // SHARD), radius)
+    nodes, dense = build_tree(np.sort(np.array([r[0] for r in picked], np.int64)).view(np.uint64), n / SHARD, radius)
+    cells = np.array([max(1, round(x * SHARD / CELL)) for x in dense], np.int64)
 
     def deal(batches):
         for b in batches:
             p = b.column(0).to_numpy().view(np.uint64)
             shard, which = route(nodes, p, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(p[which].view(np.int64))], ["shard", "fp"])
+            p, times = p[which], cells[shard]
+            with np.errstate(over="ignore"):
+                own = (((p ^ (p >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % times
+            own, other = np.repeat(own, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            keys = (np.repeat(shard, times), np.minimum(own, other), np.maximum(own, other))
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int32()) for k in keys), pa.array(np.repeat(p, times).view(np.int64))], ["shard", "a", "b", "fp"])
 
     def search(t: pa.Table) -> pa.Table:
-        a, b = forest(t.column("fp").to_numpy().view(np.uint64), radius)
-        return pa.table({"u": pa.array(a.view(np.int64)), "v": pa.array(b.view(np.int64))})
+        u, v = forest(t.column("fp").to_numpy().view(np.uint64), radius)
+        return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return points.mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(search, "u long, v long")
+    return points.mapInArrow(deal, "shard int, a int, b int, fp long").groupBy("shard", "a", "b").applyInArrow(search, "u long, v long")
 
 
 def stars(edges: DataFrame) -> DataFrame:

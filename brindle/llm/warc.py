@@ -4,7 +4,9 @@ Writing: one task writes its rows to gzip archives (a member per record, a new f
 (HTTP head and chunked body) longer than ``segment_bytes`` is cut: its first piece is a response record with segment
 number 1, the others are continuation records with the origin's identifier and their number; the last one names the
 total length. Of equal payloads of ``least_shared`` bytes or more, the one with the largest page_id is the response
-and the others are revisits of it: equal payloads meet as counts (partial aggregates), never as pairs.
+and the others are revisits of it, naming its target URI and date: equal payloads meet as counts (partial aggregates),
+never as pairs, and what is shared comes back to the pages under ``SALTS`` keys, so that a payload that a third of all
+pages have is dealt over that many. Archives have names of the attempt that wrote them; those of lost attempts are never read.
 
 Reading: archives are streamed record by record; pieces are grouped by origin, ordered by number, checked against the
 total length, joined, and the chunked framing is taken off. Groups are single records, so no group grows with the
@@ -32,6 +34,9 @@ from .common import Store, new_path, settle
 
 ARCHIVE_BYTES = 256 << 20
 CHUNK = 4096
+#: Keys over which a shared payload is dealt.
+SALTS = 32
+DATE = "1970-01-01T00:00:00Z"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -82,15 +87,19 @@ def records(f, buffer: int = 1 << 20):
             yield fields, rest[: int(fields["Content-Length"])]
 
 
-def page_records(page_id, url, payload: bytes, refers_to, revisit: bool, name: str, segment_bytes: int):
+def target(url: str | None, page_id: int | None) -> str:
+    return re.sub(r"\s", "%20", url) if url else f"urn:page:{'' if page_id is None else page_id}"
+
+
+def page_records(page_id, url, payload: bytes, refers_to, refers_url, revisit: bool, name: str, segment_bytes: int):
     """The records of one page, already packed."""
     digest = hashlib.sha1(payload).digest()
-    url = re.sub(r"\s", "%20", url) if url else f"urn:page:{'' if page_id is None else page_id}"
+    url = target(url, page_id)
     origin = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
-    shared = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest).decode()), ("Page-Id", page_id), ("Content-Type", "application/http; msgtype=response")]
+    shared = [("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest).decode()), ("Page-Id", page_id), ("Content-Type", "application/http; msgtype=response")]
     if revisit:
         head = HEAD + b"Content-Length: %d\r\n\r\n" % len(payload)
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", origin), ("WARC-Profile", PROFILE), ("Refers-To-Page-Id", refers_to), *shared], head)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", origin), ("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", target(refers_url, refers_to)), ("WARC-Refers-To-Date", DATE), ("Refers-To-Page-Id", refers_to), *shared], head)
         return
     block = HEAD + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -98,7 +107,7 @@ def page_records(page_id, url, payload: bytes, refers_to, revisit: bool, name: s
     yield record([("WARC-Type", "response"), ("WARC-Record-ID", origin), *shared, ("WARC-Segment-Number", None if whole else 1)], pieces[0])
     for i, piece in enumerate(pieces[1:], 2):
         own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{i}')}>"
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", i), ("WARC-Segment-Total-Length", len(block) if i == len(pieces) else None)], piece)
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", i), ("WARC-Segment-Total-Length", len(block) if i == len(pieces) else None)], piece)
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 4096, least_shared: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> list[str]:
@@ -106,8 +115,10 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 4096, least
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    shared = rows.where(F.octet_length("payload") >= least_shared).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "refers_to")
-    typed = rows.join(settle(shared, "payloads"), "sha1", "left")
+    last = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("x")
+    shared = settle(rows.where(F.octet_length("payload") >= least_shared).groupBy("sha1").agg(last, F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", F.col("x.page_id").alias("refers_to"), F.col("x.url").alias("refers_url")), "payloads")
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    typed = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(shared, ["sha1", "salt"], "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull(), F.lit(False))
 
     def run(batches):
@@ -117,23 +128,21 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 4096, least
         part, mine, store = context.partitionId(), f"{context.taskAttemptId()}-{os.getpid()}", Store(path)
         names, out, size, n = [], None, 0, 0
         for b in batches:
-            for page_id, url, body, refers_to, again in zip(*(c.to_pylist() for c in b.columns)):
-                for packed in page_records(page_id, url, body, refers_to, again, f"{path}/{part}/{n}", segment_bytes):
+            for page_id, url, body, refers_to, refers_url, again in zip(*(c.to_pylist() for c in b.columns)):
+                for packed in page_records(page_id, url, body, refers_to, refers_url, again, f"{path}/{part}/{n}", segment_bytes):
                     if out is None or size + len(packed) > ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
-                        names.append(f"part-{part:06d}-{len(names):04d}.warc.gz")
-                        out, size = store.writer(f"_{mine}-{names[-1]}"), 0
+                        names.append(f"part-{part:06d}-{mine}-{len(names):04d}.warc.gz")
+                        out, size = store.writer(names[-1]), 0
                     out.write(packed)
                     size += len(packed)
                 n += 1
         if out is not None:
             out.close()
-        for x in names:
-            store.publish(f"_{mine}-{x}", x)
         yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
 
-    return sorted(r[0] for r in typed.select("page_id", "url", "payload", "refers_to", revisit.alias("again")).mapInArrow(run, "name string").collect())  # one row per archive
+    return sorted(r[0] for r in typed.select("page_id", "url", "payload", "refers_to", "refers_url", revisit.alias("again")).mapInArrow(run, "name string").collect())  # one row per archive
 
 
 PIECE = "origin string, number int, total long, page_id long, type string, refers_to long, digest string, length long, block binary"

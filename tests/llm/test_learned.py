@@ -45,6 +45,23 @@ def test_defined_cases(spark, tmp_path, name, n):
     assert QUERIES[name](spark, save(tmp_path, spark, documents=empty(spark), labels=labels(spark))).count() == 0
 
 
+def test_many_rows_of_one_labelled_document_count_once(spark):
+    """The driver gathers documents, not rows; and the threshold lies where the share of poor documents ends."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    rows = [(i, " ".join(word() if i % 3 else "%%%" for _ in range(int(rng.integers(20, 60))))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    y = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    many = docs.unionByName(docs.where("doc_id = 5").crossJoin(spark.range(5000)).select("doc_id", "text"))
+    known = ranking.featured(many.select(F.col("doc_id").alias("_id"), "text"), ["_id"], "_x")
+    x, good = ranking.gathered(ranking.labelled(known, ranking.one_label(y, None)), 10**6)
+    assert len(x) == len(good) == 300
+    got = ranking.rank_quality(many, y).select("doc_id", "predicted").distinct().collect()
+    assert len(got) == 300 and sum(r["predicted"] == (r["doc_id"] % 3 > 0) for r in got) >= 298
+
+
 def plain_base(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

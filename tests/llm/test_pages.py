@@ -47,10 +47,20 @@ def test_payloads_and_segments(spark):
     assert kinds.count("continuation") > 8
 
 
+def test_revisits_name_what_they_refer_to(spark):
+    """A payload that a third of all pages have; each revisit names the response's URI and date as the standard has it."""
+    rows = [(i, f"http://p/{i}", "same " * 300 if i % 3 == 0 else f"own {i}") for i in range(300)]
+    df, path = spark.createDataFrame(rows, "page_id long, url string, html string"), new_path(spark, "w")
+    names = warc.write_archives(df, path)
+    store = warc.Store(path)
+    again = [h for n in names for h, _ in warc.records(store.reader(n)) if h["WARC-Type"] == "revisit"]
+    assert len(again) == 99 and all(h["WARC-Refers-To-Target-URI"] == "http://p/297" and h["WARC-Refers-To-Date"] == h["WARC-Date"] for h in again)
+
+
 def test_broken_archives_are_told(spark):
     path = new_path(spark, "w")
     body = b"x" * 9000
-    made = list(warc.page_records(1, "u", body, None, False, "n", 4096))
+    made = list(warc.page_records(1, "u", body, None, None, False, "n", 4096))
     assert len(made) == 3
     store = warc.Store(path)
     for name, parts in (("cut", made[:2]), ("order", [made[2], made[0], made[1]])):

@@ -39,6 +39,20 @@ def test_one_of_each_group_stays(spark, tmp_path):
     assert set(got) == set(least.values())
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    a, b = "one text of nine words that stands here alone", "another text of as many words but not the same"
+    docs = spark.createDataFrame([(0, b, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"], r["text"]) for r in STAGES["simhash near-dedup"](spark, docs, "").collect()) == [(0, b), (1, a)]
+
+
+def test_run_over_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns go through all stages; so does an empty table."""
+    d = save(tmp_path, spark, documents=documents(spark, clashing=True), labels=labels(spark), benchmark=bench(spark))
+    assert corpus_pipeline.run(spark, d).count() > 0
+    d = save(tmp_path, spark, documents=empty(spark), labels=labels(spark), benchmark=bench(spark))
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
 def test_secrets_are_masked(spark):
     docs = secret_documents(spark)
     out = {(r["doc_id"], r["source"]): r for r in STAGES["secret scans"](spark, docs, "").collect()}

@@ -90,3 +90,21 @@ def test_links_among_many_near_points(spark, seed, monkeypatch):
     for i, c in enumerate(comp):
         least.setdefault(c, i)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: least[c] for i, c in enumerate(comp)}
+
+
+def test_a_dense_cloud_is_dealt_in_cells(spark, monkeypatch):
+    """All 512 ways to turn nine bits: no vantage divides them, and two such clouds do not link."""
+    monkeypatch.setattr(simhash, "SHARD", 64)
+    monkeypatch.setattr(simhash, "CELL", 50)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(3)
+    points = {c ^ sum(1 << 7 * j for j in range(9) if i >> j & 1) for c in (rng.getrandbits(64), rng.getrandbits(64)) for i in range(512) if i % 5}
+    points = np.array(sorted(points), np.uint64)
+    _, dense = simhash.build_tree(points, len(points) / 64, 2)
+    assert max(dense) > 2
+    got = simhash.components(spark.createDataFrame(list(enumerate(points.view(np.int64).tolist())), "doc_id long, fp long"))
+    comp = plain_components(points.tolist())
+    least = {}
+    for i, c in enumerate(comp):
+        least.setdefault(c, i)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: least[c] for i, c in enumerate(comp)}
