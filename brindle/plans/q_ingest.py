@@ -84,7 +84,7 @@ def _any(x: str, words) -> str:
     return "(" + " or ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
 
-_KIND = "case " + " ".join(f"when {_any('lower(filename)', n)} then '{k}'" for k, n, _ in C.KINDS) + " " + " ".join(f"when {_any('lower(left(text, 5000))', w)} then '{k}'" for k, _, w in C.KINDS if w) + f" else '{C.GENERIC}' end"
+_KIND = "case " + " ".join(f"when {_any('lower(filename)', w)} then '{k}'" for k, w in C.NAME_KINDS) + " " + " ".join(f"when {_any('lower(left(text, 5000))', w)} then '{k}'" for k, w in C.TEXT_KINDS) + f" else '{C.GENERIC}' end"
 _ISDICT = f"({_any('lower(filename)', C.DICTIONARY_NAMES)} or " + " + ".join(f"cast(contains(lower(left(text, 3000)), '{w}') as int)" for w in C.DEFINITIONS) + " >= 3)"
 _NAMED = f"named as (select doc_id, {_NAME} as filename, {_TEXT} as text from documents)"
 
@@ -164,7 +164,7 @@ def chunk_router(spark, d):
 
 @query(f"""with {MARKDOWN_LINES}, pos as (select *, sum(length(x) + 1) over (partition by doc_id order by i, j) - length(x) - 1 as p from md_lines),
  marks as (select doc_id, p, cast(regexp_extract(x, '^## Sayfa ([0-9]+)$', 1) as integer) as page from pos where j = 0 and i > 0)
- select l.doc_id, cast(l.p as integer) as place, m.page from (select * from pos where j = 1 and i % 3 = 0) l asof left join marks m on l.doc_id = m.doc_id and l.p >= m.p""")
+ select l.doc_id, cast(l.p as integer) as place, m.page from (select * from pos where j = 1) l asof left join marks m on l.doc_id = m.doc_id and l.p >= m.p""")
 def page_asof(spark, d):
     md = markdown_docs(spark, d).select("doc_id", "text", E.page_marks(F.col("text")).alias("marks"))
     marks = md.select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.*")
@@ -172,8 +172,7 @@ def page_asof(spark, d):
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<x:string,p:int>>)").alias("out"))
     placed = F.aggregate(lines, start, lambda s, l: F.struct((s["at"] + F.length(l["x"]) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(l["x"].alias("x"), s["at"].alias("p")))).alias("out")), lambda s: s["out"])
     body = F.filter(F.slice(placed, 2, 1 << 30), lambda l: ~l["x"].rlike(r"^## Sayfa \d+$"))
-    every = F.filter(F.transform(body, lambda l, i: F.struct(l["p"].alias("place"), (i + 1).alias("i"))), lambda l: l["i"] % 3 == 0)
-    chunks = md.select("doc_id", F.explode(every).alias("l")).select("doc_id", F.col("l.place").alias("place"))
+    chunks = md.select("doc_id", F.explode(body).alias("l")).select("doc_id", F.col("l.p").alias("place"))
     return E.page_as_of(chunks, marks, ["doc_id"])
 
 
@@ -199,18 +198,50 @@ def clean_html(spark, d):
     return spread(table(spark, d, "pages")).select("page_id", P.clean_html(F.col("html")).alias("text"))
 
 
-@query("select page_id, case when regexp_matches(html, '<tbody[^>]* id') then 'teklif' when regexp_matches(html, 'dl-bold') then 'performans' else 'mali_veri' end as format from pages")
+_PAGE = "case page_id % 3 when 0 then '<tbody id=\"X\"><tr><td>' || html || '</td></tr></tbody>' when 1 then '<div class=\"dl-bold dl-bg1\">B</div>' || html else '<tbody><tr><td class=\"dl-bold\">' || html || '</td></tr></tbody>' end"
+
+
+@query("select page_id, case page_id % 3 when 0 then 'teklif' when 1 then 'performans' else 'mali_veri' end as format from pages")
 def html_format(spark, d):
-    return spread(table(spark, d, "pages")).select("page_id", T.structured(F.col("html"))["format"].alias("format"))
+    """Pages inside a section with an id, below a bold heading, or with neither (a bold cell, a section without an id)."""
+    return spread(table(spark, d, "pages").select("page_id", F.expr(_PAGE).alias("html"))).select("page_id", T.structured(F.col("html"))["format"].alias("format"))
+
+
+_LINE = """case when row_id % 2 = 0 then vals[1] || ': ' || headers[2] || ' ' || vals[2] || ' ' || vals[3] || case when vals[4] = '' then '' else ', ' || headers[4] || ' ' || vals[4] || ' ' || vals[5] end
+  else vals[1] || ': ' || headers[2] || ' döneminde ' || vals[2] || ', ' || headers[3] || ' döneminde ' || vals[3] || case when vals[4] = '' then '' else ', ' || headers[4] || ': ' || vals[4] end || ', ' || headers[5] || ': ' || vals[5] end"""
+
+
+def _row(xs, tag="td"):
+    return F.concat(F.lit("<tr>"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
 
 
-@query(f"with {CELLS} select row_id, case when len(vals) >= 5 then vals[1] || ': ' || headers[2] || ' ' || vals[2] || ' ' || vals[3] || case when vals[4] = '' then '' else ', ' || headers[4] || ' ' || vals[4] || ' ' || vals[5] end end as line from cells where row_id % 2 = 0")
+@query(f"with {CELLS} select row_id, {_LINE} as line from cells")
 def html_structured(spark, d):
-    """Two-row tables made of cells, told as sentences."""
-    c = cells(spark, d).where("row_id % 2 = 0")
-    row = lambda xs: F.concat(F.lit("<tr>"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), ""), F.lit("</tr>"))
-    html = F.concat(F.lit("<table><tbody id='Limits'><tr><td><table>"), row(F.col("headers")), row(F.col("values")), F.lit("</table></td></tr></tbody></table>"))
-    return c.select("row_id", F.regexp_replace(T.structured(html)["text"], "^## LİMİT BİLGİLERİ\n", "").alias("line"))
+    """Two-row tables made of cells, told as sentences: values with currency columns, or with period headers."""
+    html = F.concat(F.lit("<table><tbody id='Limits'><tr><td><table>"), _row(F.col("headers")), _row(F.col("values")), F.lit("</table></td></tr></tbody></table>"))
+    return cells(spark, d).select("row_id", F.regexp_replace(T.structured(html)["text"], "^## LİMİT BİLGİLERİ\n", "").alias("line"))
+
+
+@query(f"with {CELLS} select row_id, '# Rapor' || chr(10) || chr(10) || '## Özet' || chr(10) || ({_LINE}) || chr(10) || chr(10) || '## Boş' as text from cells")
+def html_performance(spark, d):
+    """Performance reports: a centred title, a heading with its table, and a heading without one."""
+    head = lambda kind, x: F.lit(f'<div class="dl-bold {kind}">{x}</div>')
+    html = F.concat(head("dl-center", "Rapor"), head("dl-bg1", "Özet"), F.lit("<table>"), _row(F.col("headers")), _row(F.col("values")), F.lit("</table>"), head("dl-bg1", "Boş"))
+    return cells(spark, d).select("row_id", T.structured(html)["text"].alias("text"))
+
+
+@query(
+    f"""with {CELLS} select row_id, '## Bilanço' || chr(10) || vals[1] || ': 2023/12 döneminde ' || vals[2] || ', 2024/6 döneminde ' || vals[3] || chr(10) || chr(10) || '### Grup' || chr(10) || 'Kalem: 2023/12 döneminde ' || vals[5]
+ || chr(10) || chr(10) || '## Gelir Tablosu' || chr(10) || 'Satış: 2023/12 döneminde ' || vals[2] || ', 2024/6 döneminde ' || vals[5] as text from cells"""
+)
+def html_financial(spark, d):
+    """Financial tables: the periods of the first section's header row carry over to the next section; lone bold cells are headings."""
+    lit = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    v = lambda i: F.element_at("values", i)
+    title = lambda x: F.lit(f"<tr><td>{x}</td></tr>")
+    first = F.concat(title("Bilanço"), _row(lit("Kalem", "2023/12", "2024/6")), _row(lit(v(1), v(2), v(3))), F.lit("<tr><td><b>Grup</b></td><td></td><td></td></tr>"), _row(lit("Kalem", v(5), "")))
+    html = F.concat(F.lit("<table>"), first, title("Gelir Tablosu"), _row(lit("Satış", v(2), v(5))), F.lit("</table>"))
+    return cells(spark, d).select("row_id", T.structured(html)["text"].alias("text"))
 
 
 @query(f"with {CELLS} select row_id, case when row_id % 2 = 0 then '1>2,3>4' else '' end as pairs from cells")

@@ -23,13 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
-_NODICT = "deleted_at is null and not is_dictionary and lower(filename) not like '%sozluk%' and lower(filename) not like '%sözlük%' and lower(filename) not like '%dictionary%'"
-_DICT = "deleted_at is null and (is_dictionary or lower(filename) like '%sozluk%' or lower(filename) like '%sözlük%' or lower(filename) like '%dictionary%')"
+_NODICT = "embedding is not null and deleted_at is null and not is_dictionary and lower(filename) not like '%sozluk%' and lower(filename) not like '%sözlük%' and lower(filename) not like '%dictionary%'"
+_DICT = "embedding is not null and deleted_at is null and (is_dictionary or lower(filename) like '%sozluk%' or lower(filename) like '%sözlük%' or lower(filename) like '%dictionary%')"
 _SIM = "round(list_cosine_similarity(c.embedding, q.qv), 9)"
 
 
-def _top(where: str, k: int, n: int, extra: str = "") -> str:
-    return f"""with {CORPUS}, {questions_sql(n)}, near as (select q.query_id, c.id, c.filename, c.chunk_index, {_SIM} as s, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r
+def _top(where: str, k: int, extra: str = "") -> str:
+    return f"""with {CORPUS}, {questions_sql()}, near as (select q.query_id, c.id, c.filename, c.chunk_index, {_SIM} as s, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r
  from corpus c cross join questions q where {where}) select query_id, id, filename, chunk_index, cast(r as integer) as rank, round(s, 6) as similarity from near where r <= {k} {extra}"""
 
 
@@ -37,47 +37,47 @@ def _show(df):
     return df.select("query_id", "id", "filename", "chunk_index", F.col("rank").cast("int").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(_top(_NODICT, 10, 1))
+@query(_top(_NODICT, 10))
 def vector_topk(spark, d):
-    return _show(search.search(corpus(spark, d), questions(spark, d, 1), 10))
+    return _show(search.search(corpus(spark, d), questions(spark, d), 10))
 
 
-@query(_top(_NODICT + " and unit = 'en' and collection = 'c1'", 10, 1))
+@query(_top(_NODICT + " and unit = 'en' and collection = 'c1'", 10))
 def vector_topk_unit_collection(spark, d):
-    return _show(search.search(corpus(spark, d), questions(spark, d, 1), 10, unit=" en ", collection="c1"))
+    return _show(search.search(corpus(spark, d), questions(spark, d), 10, unit=" en ", collection="c1"))
 
 
-@query(_top(_NODICT + " and filename in ('src1.txt', 'src2.txt')", 10, 1))
+@query(_top(_NODICT + " and filename in ('src1.txt', 'src2.txt')", 10))
 def vector_topk_filenames(spark, d):
-    return _show(search.search(corpus(spark, d), questions(spark, d, 1), 10, filenames=["src1.txt", " ", "src2.txt "]))
+    return _show(search.search(corpus(spark, d), questions(spark, d), 10, filenames=["src1.txt", " ", "src2.txt "]))
 
 
-@query(_top(_NODICT + " and doc_type = 't1'", 10, 1))
+@query(_top(_NODICT + " and doc_type = 't1'", 10))
 def vector_topk_doctype(spark, d):
-    return _show(search.search(corpus(spark, d), questions(spark, d, 1), 10, doc_type="t1"))
+    return _show(search.search(corpus(spark, d), questions(spark, d), 10, doc_type="t1"))
 
 
-@query(_top(_DICT, 3, 5))
+@query(_top(_DICT, 3))
 def dictionary_topk(spark, d):
     return _show(search.search_dictionary(corpus(spark, d), questions(spark, d)))
 
 
-@query(_top(_NODICT, 10, 50))
+@query(_top(_NODICT, 10))
 def batch_topk(spark, d):
-    return _show(search.search(corpus(spark, d), questions(spark, d, 50), 10))
+    return _show(search.search(corpus(spark, d), questions(spark, d), 10))
 
 
-@query(_top(_NODICT, 10, 1))
+@query(_top(_NODICT + " and q.query_id = 0", 10))
 def vector_topk_native(spark, d):
-    """The expression twin of ``vector_topk``."""
-    qv = questions(spark, d, 1).first()["qv"]
+    """The expression twin of ``vector_topk``, for one question (the vector of number 0)."""
+    qv = questions(spark, d).where("query_id = 0").first()["qv"]
     chunks = corpus(spark, d).where(search.not_deleted() & search.no_dictionary())
     best = search.top_k_native(chunks, qv, 10)
     rank = F.row_number().over(search.Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return _show(best.withColumn("query_id", F.lit(0).cast("long")).withColumn("rank", rank))
 
 
-@query(_top(_NODICT, 60, 5, "and s >= 0.1"))
+@query(_top(_NODICT, 60, "and s >= 0.1"))
 def candidate_overfetch_filter(spark, d):
     return _show(search.search(corpus(spark, d), questions(spark, d), 60).where("similarity >= 0.1"))
 
@@ -140,7 +140,7 @@ _CHUNK_HEADER = _CHUNK_HEADER.replace("{{", "{").replace("}}", "}")
 
 
 @query(
-    f"""with {CORPUS}, {questions_sql(5)}, near as (select q.query_id, q.query, c.*, {_SIM} as s, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join questions q where {_NODICT}),
+    f"""with {CORPUS}, {questions_sql()}, near as (select q.query_id, q.query, c.*, {_SIM} as s, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join questions q where {_NODICT}),
  scored as (select query_id, id, s, round(s + 0.12 * (case when {_WANTS.format(q='query')} then {_NUMBER.format(c='content')} else 0.0 end) + 0.10 * {_OVERLAP.format(q='query', c='content')}, 6) as score from near where r <= 60 and s >= 0)
  select query_id, id, cast(row_number() over (partition by query_id order by score desc, s desc, id) as integer) as rank, score from scored qualify row_number() over (partition by query_id order by score desc, s desc, id) <= 10"""
 )
@@ -149,7 +149,7 @@ def rerank_topk(spark, d):
     return out.select("query_id", "id", F.col("rank").cast("int").alias("rank"), "score")
 
 
-_EXPANSION = f"""with {CORPUS}, {questions_sql(5)}, near as (select q.query_id, q.query, c.id, c.content, {_CHUNK_HEADER} as h, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join questions q where {_DICT}),
+_EXPANSION = f"""with {CORPUS}, {questions_sql()}, near as (select q.query_id, q.query, c.id, c.content, {_CHUNK_HEADER} as h, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join questions q where {_DICT}),
  top as (select * from near where r <= 3), words as (select query_id, query, r, unnest(list_slice(regexp_extract_all(left(content, 500), '[{R.LETTERS}]{{4,}}'), 1, 12)) as w, generate_subscripts(list_slice(regexp_extract_all(left(content, 500), '[{R.LETTERS}]{{4,}}'), 1, 12), 1) as i from top),
  firsts as (select query_id, query, lower(w) as w, min(r * 100 + i) as place from words where not contains(lower(query), lower(w)) group by all),
  eight as (select query_id, query, w, place from firsts qualify row_number() over (partition by query_id order by place) <= 8)
@@ -180,7 +180,7 @@ def source_pages(spark, d):
 
 
 @query(
-    f"""with {CORPUS}, {questions_sql(5)}, near as (select q.query_id, c.*, {_SIM} as s, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join questions q where {_NODICT}),
+    f"""with {CORPUS}, {questions_sql()}, near as (select q.query_id, c.*, {_SIM} as s, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join questions q where {_NODICT}),
  top as (select *, {_SANE.format(h='header')} as shown from near where r <= 5)
  select query_id, string_agg('[Kaynak ' || r || ': ' || filename || case when source_page is null then '' else ' | Sayfa: ' || source_page end || case when shown is null then '' else ' | Bölüm: ' || shown end || ' | Benzerlik: %' || cast(round_even(s * 100, 0) as integer) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by r) as context, count(*) as n_sources from top group by 1"""
 )
@@ -198,8 +198,8 @@ def hash_embed(spark, d):
 
 def _answers(spark, d, **scope):
     embed = embedder(hash_vectors)
-    chunks = settled(corpus(spark, d, "left").withColumn("embedding", embed(F.col("content"))), "chunks")
-    return retrieval.answer(chunks, questions(spark, d, None).select("query_id", "query"), 5, embed, first_sentence, **scope)
+    chunks = settled(corpus(spark, d).withColumn("embedding", embed(F.col("content"))), "chunks")
+    return retrieval.answer(chunks, questions(spark, d).select("query_id", "query"), 5, embed, first_sentence, **scope)
 
 
 @query()

@@ -43,20 +43,30 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def corpus(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
-    """Chunks: documents with the vector of the same number; with ``how`` left, also those without a vector."""
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    b = d.join(e, d["doc_id"] == e["vec_id"], how)
-    k = F.col("doc_id")
+#: Documents whose chunks are numbered in one group.
+STRETCH = 10_000
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks: all documents, with the vector of the same number where there is one.
+
+    A chunk's index counts the file's chunks before it. Files are few and grow, so chunks are numbered in stretches of
+    ids, and small counts per file and stretch say how many chunks lie before a stretch.
+    """
+    k = F.col("id")
     name = F.when(F.col("source") == "src3", "src3_sozluk.txt").when(F.col("source") == "src7", "dictionary_src7.pdf").otherwise(F.concat("source", F.lit(".txt")))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("unit"), name.alias("filename")).withColumn("stretch", F.floor(k / STRETCH))
+    before = F.sum("n").over(Window.partitionBy("filename").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = d.groupBy("filename", "stretch").agg(F.count(F.lit(1)).alias("n")).select("filename", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("filename", "stretch").orderBy("id")) - 1
+    b = d.join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), "id", "left").join(starts, ["filename", "stretch"], "left")
     header = F.when(k % 4 == 0, F.concat(F.lit("Limit Risk > Detail "), (k % 7).cast("string"))).when(k % 4 == 1, F.concat(F.lit("Sayfa "), (k % 9).cast("string"))).when(k % 4 == 2, F.lit("")).otherwise(F.lit("Note ends here."))
     meta = F.to_json(F.struct(F.when(k % 5 != 0, F.col("label") == 0).alias("is_dictionary"), F.concat(F.lit("t"), (F.col("label") % 4).cast("string")).alias("doc_type"), header.alias("header"), F.when(k % 3 == 0, (k % 50).cast("string")).alias("source_page")))
-    out = b.select(
-        k.alias("id"), F.col("text").alias("content"), F.col("lang").alias("unit"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("collection"), name.alias("filename"),
+    return b.select(
+        "id", "content", "unit", F.concat(F.lit("c"), (k % 3).cast("string")).alias("collection"), "filename",
         "embedding", meta.alias("doc_metadata"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=k.cast("int"))).alias("created_at"),
-        F.when(k % 17 == 0, F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"),
+        F.when(k % 17 == 0, F.lit("2024-06-01").cast("timestamp")).alias("deleted_at"), (F.col("before") + within).cast("int").alias("chunk_index"),
     )
-    return out.withColumn("chunk_index", (F.row_number().over(Window.partitionBy("filename").orderBy("id")) - 1).cast("int"))
 
 
 CORPUS = """corpus as (select d.doc_id as id, d.text as content, d.lang as unit, 'c' || (d.doc_id % 3) as collection,
@@ -66,19 +76,18 @@ CORPUS = """corpus as (select d.doc_id as id, d.text as content, d.lang as unit,
   case when d.doc_id % 3 = 0 then cast(d.doc_id % 50 as varchar) end as source_page,
   timestamp '2024-01-01' + to_minutes(d.doc_id) as created_at, case when d.doc_id % 17 = 0 then timestamp '2024-06-01' end as deleted_at,
   cast(row_number() over (partition by case d.source when 'src3' then 'src3_sozluk.txt' when 'src7' then 'dictionary_src7.pdf' else d.source || '.txt' end order by d.doc_id) - 1 as integer) as chunk_index
- from documents d join embeddings e on d.doc_id = e.vec_id)"""
+ from documents d left join embeddings e on d.doc_id = e.vec_id)"""
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
-    """query_id, query, qv: the first vectors, each with a question; without ``n`` every hundredth vector of all."""
-    asked = F.col("vec_id") % 100 == 0 if n is None else F.col("vec_id") < n
-    q = F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("vec_id") % len(QUESTIONS) + 1).cast("int"))
-    return table(spark, sf_dir, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), q.alias("query"), F.col("embedding").alias("qv"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query, qv: every hundredth vector of all, each with a question."""
+    q = F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.floor(F.col("vec_id") / 100) % len(QUESTIONS) + 1).cast("int"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), q.alias("query"), F.col("embedding").alias("qv"))
 
 
-def questions_sql(n: int = 5) -> str:
+def questions_sql() -> str:
     names = ", ".join(f"'{x}'" for x in QUESTIONS)
-    return f"questions as (select vec_id as query_id, ([{names}])[vec_id % {len(QUESTIONS)} + 1] as query, cast(embedding as double[]) as qv from embeddings where vec_id < {n})"
+    return f"questions as (select vec_id as query_id, ([{names}])[(vec_id // 100) % {len(QUESTIONS)} + 1] as query, cast(embedding as double[]) as qv from embeddings where vec_id % 100 = 0)"
 
 
 def query_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
