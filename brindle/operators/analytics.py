@@ -32,6 +32,12 @@ def dashboard(chunks: DataFrame, logs: DataFrame, today: str | None = None) -> D
     return corpus.crossJoin(asked).withColumn("avg_chunk_size", average)  # one row by one row
 
 
+def embedding_load(texts: DataFrame, batch: int = 128, text_col: str = "text") -> DataFrame:
+    """What an embedding service gets: texts, requests of ``batch`` texts, and the average input in whole characters."""
+    n, chars = F.count(text_col), F.coalesce(F.sum(F.length(text_col)), F.lit(0))
+    return texts.agg(n.alias("n_texts"), F.ceil(n / batch).alias("n_requests"), F.floor(chars / F.greatest(n, F.lit(1))).alias("avg_input"))
+
+
 def file_summary(chunks: DataFrame) -> DataFrame:
     return chunks.where(not_deleted()).groupBy("filename").agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("total_chars"))
 

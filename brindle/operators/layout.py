@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: Partitions that a small scan is dealt over at most.
+MOST = 64
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores, dealt out over all of them; any other one as it is.
+    """A scan of fewer partitions than there are cores (and than ``MOST``), dealt out over as many; any other one as it is.
 
-    Only a small table has so few (one row group cannot be split), so what this shuffles is bounded by a few partitions.
+    Only a small table has so few (one row group cannot be split). What this shuffles is less than ``MOST`` splits of a scan
+    (8 GB at Spark's default split size), however many cores there are.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    want = min(scan.sparkSession.sparkContext.defaultParallelism, MOST)
+    return scan.repartition(want) if scan.rdd.getNumPartitions() < want else scan

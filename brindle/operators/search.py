@@ -62,6 +62,20 @@ def in_scopes(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
     return chunks.join(scopes.select("filename").distinct(), "filename", "left_semi")
 
 
+def best_of(ids: list[int], keys: np.ndarray, sim: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of a batch for each question (a column of ``sim``), ties to the lower key: a partition finds each
+    column's k-th value, and only what reaches it is sorted."""
+    s = np.where(np.isnan(sim), -np.inf, sim)
+    bound = np.partition(s, len(s) - k, axis=0)[len(s) - k] if k < len(s) else np.full(s.shape[1], -np.inf)
+    row, column = np.nonzero((s >= bound) & np.isfinite(s))
+    order = np.lexsort((keys[row], -s[row, column], column))
+    row, column = row[order], column[order]
+    first = np.searchsorted(column, np.arange(s.shape[1]))
+    keep = np.arange(len(column)) - first[column] < k
+    row, column = row[keep], column[keep]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[column]), pa.array(keys[row]), pa.array(s[row, column])], ["query_id", "key", "similarity"])
+
+
 def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedding", key: str = "id", id_col: str = "query_id", question_vector: str = "qv") -> DataFrame:
     """Each question's k nearest chunks: query_id, rank, similarity, distance, and the chunk's columns without its vector.
 
@@ -88,12 +102,7 @@ def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedd
                 x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     sim = np.round((x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * norm), 9)
-                keys = b.column(0).to_numpy(zero_copy_only=False)
-                for j in range(len(ids)):
-                    s = sim[:, j]
-                    at = np.flatnonzero(~np.isnan(s))
-                    at = at[np.lexsort((keys[at], -s[at]))[:k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[j])), pa.array(keys[at]), pa.array(s[at])], ["query_id", "key", "similarity"])
+                yield best_of(ids, b.column(0).to_numpy(zero_copy_only=False), sim, k)
 
         near = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "query_id long, key long, similarity double")
         found = near if found is None else found.unionByName(near)

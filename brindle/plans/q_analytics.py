@@ -34,6 +34,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query("select count(text) as n_texts, cast(ceil(count(text) / 128) as bigint) as n_requests, cast(coalesce(sum(length(text)), 0) // greatest(count(text), 1) as bigint) as avg_input from documents")
+def embedding_load(spark, d):
+    return A.embedding_load(table(spark, d, "documents"))
+
+
 @query(f"with {CORPUS} select count(id) as total_documents from corpus")
 def count_chunks(spark, d):
     return A.count_chunks(corpus(spark, d))

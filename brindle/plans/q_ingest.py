@@ -176,6 +176,24 @@ def page_asof(spark, d):
     return E.page_as_of(chunks, marks, ["doc_id"])
 
 
+_FOUND = f"""with {MARKDOWN_LINES}, pos as (select *, sum(length(x) + 1) over (partition by doc_id order by i, j) - length(x) - 1 as p from md_lines),
+ marks as (select doc_id, p, cast(regexp_extract(x, '^## Sayfa ([0-9]+)$', 1) as integer) as page from pos where j = 0 and i > 0),
+ whole as (select doc_id, string_agg(x, chr(10) order by i, j) as text from md_lines group by 1),
+ heads as (select doc_id, text, substring(text, 1 + (doc_id * 37) % length(text), 300) as content from whole),
+ cut as (select *, {_strip("left(content, 200)")} as h200, {_strip("left(content, 80)")} as h80 from heads),
+ found as (select doc_id, case when h200 <> '' then coalesce(nullif(instr(text, h200), 0), nullif(instr(text, h80), 0)) - 1 end as place from cut)
+ select f.doc_id, cast(f.place as integer) as place, m.page from found f asof left join marks m on f.doc_id = m.doc_id and f.place >= m.p"""
+
+
+@query(_FOUND)
+def find_page(spark, d):
+    """The page that a piece of a text stands on, by its first characters."""
+    md = markdown_docs(spark, d)
+    content = F.substring("text", (1 + (F.col("doc_id") * 37) % F.length("text")).cast("int"), F.lit(300))
+    placed = md.select("doc_id", E.page_marks(F.col("text")).alias("marks"), E.place_of(F.col("text"), content).alias("place"))
+    return placed.select("doc_id", "place", E.page_at(F.col("marks"), F.col("place")).alias("page"))
+
+
 @query(f"with {_NAMED} select doc_id, '[Kaynak: Doc ' || doc_id || ' | Doküman Türü: ' || {_KIND} || ']' || case when doc_id % 2 = 0 then chr(10) || '[Bölüm: H' || doc_id % 9 || ']' else '' end || chr(10) || chr(10) || text as content from named")
 def enriched_chunks(spark, d):
     n = _named(spark, d)

@@ -110,7 +110,7 @@ class DocumentStore:
         if name != "chunks":
             rows.write.mode(mode).parquet(self.path(name))
             return
-        parted = self._parted(rows).repartition("unit", "collection", "bucket")
+        parted = self._parted(rows).hint("rebalance", "unit", "collection", "bucket")  # large partitions are split over tasks, small ones share one
         parted.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("unit", "collection", "bucket").parquet(self.path(name))
 
     def _raw(self) -> DataFrame:
@@ -136,6 +136,10 @@ class DocumentStore:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path), path
 
+    def discard(self, path: str) -> None:
+        """Remove a staged table."""
+        self._drop(path)
+
     def _drop(self, path: str) -> None:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -31,15 +31,19 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
 
 
 def ingest_folder(spark: SparkSession, folder: str, store: DocumentStore, make_chunks: Callable[[DataFrame], DataFrame], checkpoint: str, unit: str | None = None, collection: str | None = None, pdf: PdfReader | None = None) -> StreamingQuery:
-    """Ingest the files that a folder holds and gets. A file that comes again replaces its chunks, so a batch that is
-    tried again does no harm. ``make_chunks``: extracted files (filename, text, html_format) to chunk rows."""
+    """Ingest the files that a folder holds and gets. A file that comes again replaces its chunks, also by none, so a batch
+    that is tried again does no harm. A file that cannot be read keeps what it had and is noted (filename, error) in the
+    store's ``ingest_errors``, in a folder per batch. ``make_chunks``: extracted files (filename, text, html_format) to chunk rows."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
-    def batch(df: DataFrame, _: int) -> None:
-        done = extracted(df, pdf)
-        rows = make_chunks(done.where("error is null")).withColumns({"unit": F.lit(unit).cast("string"), "collection": F.lit(collection).cast("string")})
-        store.replace_all(rows, unit, collection)
+    def batch(df: DataFrame, number: int) -> None:
+        done, at = store.staged(extracted(df, pdf))  # files are read once
+        read = done.where("error is null")
+        rows = make_chunks(read).withColumns({"unit": F.lit(unit).cast("string"), "collection": F.lit(collection).cast("string")})
+        store.replace_all(rows, unit, collection, names=read)
+        done.where("error is not null").select("filename", "error").write.mode("overwrite").parquet(store.path(f"ingest_errors/batch={number}"))
+        store.discard(at)
 
     return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

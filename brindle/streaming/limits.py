@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+#: Stands for an event without a key.
+NO_KEY = -(1 << 63)
 DECISION = "event_id long, user_id long, hits long, allowed boolean"
 
 
@@ -24,13 +26,14 @@ def micros(ts: str | Column) -> Column:
 
 
 def count_hits(micros: np.ndarray, window: int, start: int | None = None, hits: int = 0) -> tuple[np.ndarray, int | None, int]:
-    """The number of each hit (ascending times) within its window, and the state after the last one."""
-    out = np.empty(len(micros), np.int64)
-    for i, t in enumerate(micros.tolist()):
-        if start is None or t - start >= window:
-            start, hits = t, 0
-        hits += 1
-        out[i] = hits
+    """The number of each hit (ascending times) within its window, and the state after the last one. One step per window."""
+    out, at, n = np.empty(len(micros), np.int64), 0, len(micros)
+    while at < n:
+        if start is None or micros[at] - start >= window:
+            start, hits = int(micros[at]), 0
+        end = int(np.searchsorted(micros, start + window, "left"))
+        out[at:end] = hits + 1 + np.arange(end - at)
+        hits, at = hits + end - at, end
     return out, start, hits
 
 
@@ -45,12 +48,14 @@ def _counted(rows: DataFrame, window_s: int) -> DataFrame:
     def run(batches):
         last, start, hits = None, None, 0
         for b in batches:
-            out = np.empty(b.num_rows, np.int64)
-            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
-                if k != last or start is None or t - start >= wide:
-                    last, start, hits = k, t, 0
-                hits += 1
-                out[i] = hits
+            key, t, out = b.column(0).fill_null(NO_KEY).to_numpy(), b.column(2).to_numpy(), np.empty(b.num_rows, np.int64)
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if key[lo] != last:
+                    last, start, hits = key[lo], None, 0
+                out[lo:hi], start, hits = count_hits(t[lo:hi], wide, start, hits)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], ["user_id", "event_id", "t", "hits"])
 
     return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInArrow(run, "user_id long, event_id long, t long, hits long")
@@ -61,19 +66,33 @@ def rate_limit_replay(events: DataFrame, limit: int, window_s: int, key: str = "
     return _counted(_rows(events, key, ts, event_id), window_s).select("event_id", "user_id", "hits", (F.col("hits") <= limit).alias("allowed"))
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_s: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
-    """The same decisions over a stream; state per key: the window's start and its count."""
+def rate_limit_stream(events: DataFrame, limit: int, window_s: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", late: str | None = None) -> DataFrame:
+    """The same decisions over a stream; state per key: the window's start and its count.
+
+    With ``late`` (how far events may come behind the newest, as an interval) a key's state goes once its window is over for
+    good, and later events are dropped; without it no event is, and each key keeps its two numbers.
+    """
     wide = window_s * 1_000_000
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, hits = state.get if state.exists else (None, 0)
-        rows = pd.concat(parts).sort_values(["t", "event_id"])
+        rows = pd.concat([p[["event_id", "t"]] for p in parts]).sort_values(["t", "event_id"])  # a key's rows of one trigger
         counted, start, hits = count_hits(rows["t"].to_numpy(), wide, start, hits)
         if start is not None:
             state.update((start, hits))
+            if late:
+                state.setTimeoutTimestamp(max((start + wide) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": k[0], "hits": counted, "allowed": counted <= limit})
 
-    return _rows(events, key, ts, event_id).groupBy("user_id").applyInPandasWithState(run, DECISION, "start long, hits long", "append", GroupStateTimeout.NoTimeout)
+    rows, timeout = _rows(events, key, ts, event_id), GroupStateTimeout.NoTimeout
+    if late:
+        seen = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+        rows = seen.select(F.col(key).cast("long").alias("user_id"), F.col(event_id).cast("long").alias("event_id"), micros(ts).alias("t"), F.col(ts).alias("seen"))
+        timeout = GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("user_id").applyInPandasWithState(run, DECISION, "start long, hits long", "append", timeout)
 
 
 def current_hits(events: DataFrame, at: str, window_s: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:

@@ -107,6 +107,37 @@ def test_folders_are_ingested_as_they_grow(spark, tmp_path):
     assert sorted(r["filename"] for r in st.table("chunks").collect()) == ["a.txt", "b.txt"]
 
 
+def test_a_file_that_comes_empty_or_broken(spark, tmp_path):
+    """A file that comes again without text loses its chunks; one that cannot be read keeps them and is noted."""
+    st = DocumentStore(spark, f"file://{tmp_path}/store")
+    st.create_tables()
+    ingest = lambda done: done.where("trim(text) <> ''").select("filename", F.col("text").alias("content"))
+    run = lambda: continuous.ingest_folder(spark, f"file://{tmp_path}/in", st, ingest, f"file://{tmp_path}/cp", unit="u").awaitTermination()
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b", "c"):
+        (tmp_path / "in" / f"{name}.txt").write_text("some text", encoding="utf-8")
+    run()
+    for sub, name, data in (("x", "a.txt", b"  "), ("x", "b.txt", b"\xff\xfe\xfa")):
+        (tmp_path / "in" / sub).mkdir(exist_ok=True)
+        (tmp_path / "in" / sub / name).write_bytes(data)
+    run()
+    assert sorted(r["filename"] for r in st.table("chunks").collect()) == ["b.txt", "c.txt"]
+    noted = spark.read.parquet(st.path("ingest_errors")).collect()
+    assert [r["filename"] for r in noted] == ["b.txt"] and "UnicodeDecodeError" in noted[0]["error"]
+
+
+def test_state_of_rate_limits_expires(spark, tmp_path):
+    """With a bound on lateness the stream decides as the replay does, while keys that are done with are forgotten."""
+    rows = [(i, i % 3, f"2024-01-{1 + i // 20:02d} 00:{i % 20:02d}:00") for i in range(200)]
+    for n in range(0, 200, 50):
+        spark.createDataFrame(rows[n : n + 50], "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/ev")
+    schema = "event_id long, user_id long, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/ev")
+    got = continuous.run_to_table(limits.rate_limit_stream(stream, 3, 3600, late="30 days"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    want = limits.rate_limit_replay(spark.read.schema(schema).parquet(f"file://{tmp_path}/ev"), 3, 3600)
+    assert sorted(map(tuple, got.select("event_id", "hits").collect())) == sorted(map(tuple, want.select("event_id", "hits").collect()))
+
+
 def test_page_images(spark, tmp_path):
     for n in (10, 2):
         (tmp_path / f"Page{n}.png").write_bytes(b"i%d" % n)
