@@ -41,6 +41,14 @@ def hash_vectors(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """How often each small letter stands in a text: vectors that any language can check."""
+    return [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
 def first_sentence(system: Column, prompt: Column) -> Column:
     """A stand-in for a language model: the first sentence of the first source."""
     body = F.regexp_extract(prompt, r"(?s)\]\n(.*?)(?:[.!?](?:\s|$)|\n\n---|\n\nSORU)", 1)

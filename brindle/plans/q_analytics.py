@@ -293,11 +293,14 @@ def ingest_documents(spark, d):
     return ingest(docs, models.embedder(models.hash_vectors))
 
 
-@query("select conv_id, turn, i as seq, case i when 0 then 'answer' when 1 then 'sources' else 'debug_info' end as event from conversations, (select unnest(range(3)) as i) where i <> 1 or turn > 0")
+_FRAME = """case i when 0 then '{"answer":' || to_json(text)::varchar || '}' when 1 then '{"sources":[{"filename":"a.txt","chunk_index":0,"header":null,"similarity_score":0.5,"content_preview":"p","source_pages":null}]}' else '{"debug_info":{"retrieval_mode":"GLOBAL"}}' end"""
+
+
+@query(f"select conv_id, turn, i as seq, case i when 0 then 'answer' when 1 then 'sources' else 'debug_info' end as event, 'data: ' || {_FRAME} || chr(10) || chr(10) as frame from conversations, (select unnest(range(3)) as i) where i <> 1 or turn > 0")
 def sse_order(spark, d):
     """Frames of made-up answers: those without a source have no frame of sources."""
     c = table(spark, d, "conversations")
     source = F.struct(F.lit("a.txt").alias("filename"), F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("header"), F.lit(0.5).alias("similarity"), F.lit("p").alias("preview"), F.lit(None).cast("string").alias("source_pages"))
     sources = F.when(F.col("turn") > 0, F.array(source)).otherwise(F.array().cast("array<struct<filename:string,chunk_index:int,header:string,similarity:double,preview:string,source_pages:string>>"))
     answers = c.select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("answer"), sources.alias("sources"), F.struct(F.lit("GLOBAL").alias("retrieval_mode")).alias("debug_info"))
-    return retrieval.frames(answers).select("query_id.conv_id", "query_id.turn", F.when(F.col("event") == "debug_info", 2).when(F.col("event") == "sources", 1).otherwise(0).cast("long").alias("seq"), "event")
+    return retrieval.frames(answers).select("query_id.conv_id", "query_id.turn", F.when(F.col("event") == "debug_info", 2).when(F.col("event") == "sources", 1).otherwise(0).cast("long").alias("seq"), "event", "frame")

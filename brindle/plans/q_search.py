@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import relevance as R
-from ..functions.models import embedder, first_sentence, hash_vectors
+from ..functions.models import LETTERS, embedder, first_sentence, hash_vectors, letter_counts
 from ..operators import retrieval, search
 from .views import CORPUS, corpus, documents, questions, questions_sql, settled, table
 
@@ -196,18 +196,54 @@ def hash_embed(spark, d):
     return v.select("doc_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"))
 
 
+def _letters(x: str) -> str:
+    return "[" + ", ".join(f"cast(length({x}) - length(replace({x}, '{c}', '')) as double)" for c in LETTERS) + "]"
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"round(list_cosine_similarity({a}, {b}), 9)"
+
+
+_LIVE = _NODICT.replace("embedding is not null and ", "")
+_KNOWN = _DICT.replace("embedding is not null and ", "")
+_SHOWN = _SANE.format(h="h")
+_SENTENCE = r"regexp_extract('KONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'SORU: ' || query, '(?s)\]\n(.*?)(?:[.!?](?:[ \t\n\x0B\f\r]|$)|\n\n---|\n\nSORU)', 1)"
+
+
+def _way(scope: str = "true") -> str:
+    """The whole way from a question to its answer in SQL, letter counts being the vectors: answers (query_id, query,
+    answer, source_ids, lines)."""
+    words = f"list_slice(regexp_extract_all(left(content, 500), '[{R.LETTERS}]{{4,}}'), 1, 12)"
+    return f"""with {CORPUS}, {questions_sql()}, chunks as (select * exclude (embedding), {_letters("content")} as v from corpus), asked as (select query_id, query, {_letters("query")} as qv0 from questions),
+ known as (select q.query_id, q.query, c.content, {_CHUNK_HEADER} as h, row_number() over (partition by q.query_id order by {_cosine("c.v", "q.qv0")} desc, c.id) as r from chunks c cross join asked q where list_sum(c.v) > 0 and {_KNOWN} qualify r <= 3),
+ words as (select query_id, query, r, unnest({words}) as w, generate_subscripts({words}, 1) as i from known),
+ firsts as (select query_id, query, lower(w) as w, min(r * 100 + i) as place from words where not contains(lower(query), lower(w)) group by all),
+ eight as (select * from firsts qualify row_number() over (partition by query_id order by place) <= 8),
+ terms as (select query_id, string_agg(w, ', ' order by place) as terms from eight group by 1), heads as (select query_id, list(h order by r) as headers from known where h <> '' group by 1),
+ wide as (select a.query_id, a.query, coalesce(h.headers, []) as headers, case when t.terms is null then a.query else a.query || ' (' || t.terms || ')' end as expanded from asked a left join terms t using (query_id) left join heads h using (query_id)),
+ vectors as (select *, {_letters("expanded")} as qv from wide),
+ near as (select q.query_id, q.query, q.headers, c.*, {_CHUNK_HEADER} as h, {_cosine("c.v", "q.qv")} as s from chunks c cross join vectors q where list_sum(c.v) > 0 and {_LIVE} and {scope} qualify row_number() over (partition by q.query_id order by s desc, c.id) <= 30),
+ scored as (select *, round(s + 0.12 * (case when {_WANTS.format(q="query")} then {_NUMBER.format(c="content")} else 0.0 end) + 0.10 * {_OVERLAP.format(q="query", c="content")}
+   + 0.08 * coalesce(list_max(list_transform(headers, lambda t: {_HSIM.format(h="lower(h)", t="lower(t)")})), 0.0), 6) as score from near where s >= 0),
+ top as (select *, {_SHOWN} as shown, row_number() over (partition by query_id order by score desc, s desc, id) as rank from scored qualify rank <= 5),
+ found as (select query_id, list(id order by rank) as source_ids,
+   string_agg('[Kaynak ' || rank || ': ' || filename || case when source_page is null then '' else ' | Sayfa: ' || source_page end || case when shown is null then '' else ' | Bölüm: ' || shown end || ' | Benzerlik: %' || cast(round_even(s * 100, 0) as integer) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context,
+   string_agg('  • ' || filename || case when source_page is null then '' else ' | Sayfa ' || source_page end || case when shown is null then '' else ' - ' || shown end || ' (Güven: %' || cast(round_even(least(1.0, s) * 100, 0) as integer) || ')' || chr(10), '' order by rank) as lines from top group by 1),
+ answers as (select a.query_id, a.query, f.source_ids, f.lines, case when {_SENTENCE} = '' then '?' else trim({_SENTENCE} || '.', ' ') end as answer from asked a join found f using (query_id))"""
+
+
 def _answers(spark, d, **scope):
-    embed = embedder(hash_vectors)
+    embed = embedder(letter_counts)
     chunks = settled(corpus(spark, d).withColumn("embedding", embed(F.col("content"))), "chunks")
     return retrieval.answer(chunks, questions(spark, d).select("query_id", "query"), 5, embed, first_sentence, **scope)
 
 
-@query()
+@query(_way() + " select query_id, query, answer, source_ids, 'GLOBAL' as mode from answers")
 def rag_end_to_end(spark, d):
     return _answers(spark, d).select("query_id", "query", "answer", F.transform("sources", lambda s: s["id"]).alias("source_ids"), "mode")
 
 
-@query()
+@query(_way("unit = 'en'") + " select query_id, answer, cast(len(source_ids) as integer) as n, 'SCOPED' as mode from answers")
 def rag_scoped(spark, d):
     return _answers(spark, d, unit="en").select("query_id", "answer", F.size("sources").alias("n"), "mode")
 
@@ -217,7 +253,7 @@ def sse_frames(spark, d):
     return retrieval.frames(_answers(spark, d))
 
 
-@query()
+@query(_way() + " select query_id, '📚 KAYNAKLAR (' || len(source_ids) || ' chunk):' || chr(10) || lines || chr(10) || repeat('=', 70) || chr(10) || chr(10) || answer as stream from answers")
 def answer_stream(spark, d):
     """Answers as plain text streams, below their sources."""
     return retrieval.banner(_answers(spark, d))
