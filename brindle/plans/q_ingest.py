@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import normalize as N
+from ..functions.models import embedder, letter_counts
 from ..operators import chunking as K
 from ..operators import enrich as E
 from ..operators import pages as P
 from ..operators import tables as T
 from ..operators.layout import spread
+from ..pipeline import ingest
 from .views import CELLS, CORPUS, MARKDOWN_LINES, cells, corpus, documents, markdown_docs, table
 
 QUERIES: dict = {}
@@ -125,12 +127,12 @@ def chunk_sliding(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(K.sliding(F.col("text"))).alias("position", "content"))
 
 
-_HEADERS = f"""with {MARKDOWN_LINES}, heads as (select *, regexp_matches(x, '^#{{1,6}}\\s+.') as h, case when regexp_matches(x, '^#{{1,6}}\\s+.') then length(regexp_extract(x, '^#+')) end as level, {_strip("regexp_replace(x, '^#{1,6}\\s+', '')")} as title from md_lines),
+_SECTIONS = f"""{MARKDOWN_LINES}, heads as (select *, regexp_matches(x, '^#{{1,6}}\\s+.') as h, case when regexp_matches(x, '^#{{1,6}}\\s+.') then length(regexp_extract(x, '^#+')) end as level, {_strip("regexp_replace(x, '^#{1,6}\\s+', '')")} as title from md_lines),
  cut as (select *, sum(cast(h as integer)) over (partition by doc_id order by i, j) as sec, sum(cast(coalesce(level, 9) = 1 as integer)) over (partition by doc_id order by i, j) as g1 from heads),
  above as (select *, last_value(case when level = 1 then title end ignore nulls) over (partition by doc_id order by i, j) as h1, last_value(case when level = 2 then title end ignore nulls) over (partition by doc_id, g1 order by i, j) as h2 from cut),
  names as (select doc_id, sec, level, case level when 1 then title when 2 then concat_ws(' > ', h1, title) else concat_ws(' > ', h1, h2, title) end as header from above where h),
- bodies as (select doc_id, sec, {_strip("string_agg(x, chr(10) order by i, j)")} as content from above where sec > 0 group by 1, 2)
- select doc_id, cast(sec - 1 as integer) as position, cast(level as integer) as level, header, content from names join bodies using (doc_id, sec)"""
+ bodies as (select doc_id, sec, {_strip("string_agg(x, chr(10) order by i, j)")} as content from above where sec > 0 group by 1, 2)"""
+_HEADERS = f"with {_SECTIONS} select doc_id, cast(sec - 1 as integer) as position, cast(level as integer) as level, header, content from names join bodies using (doc_id, sec)"
 
 
 @query(_HEADERS)
@@ -156,10 +158,44 @@ def chunk_records(spark, d):
     return K.chunks_of(table(spark, d, "documents").select("doc_id", marked.alias("text")), kernel=kernel).select("doc_id", "position", "content")
 
 
-@query()
+def _packs(name: str, source: str, keys: str) -> str:
+    """CTEs that pack the paragraphs of ``source`` (keys, content): ``name`` (keys, piece, content)."""
+    line, gap = "chr(10)", "chr(10) || chr(10)"
+    return f"""{name}_parts as (select {keys}, case when contains(content, {gap}) then string_split(content, {gap}) else string_split(content, {line}) end as ps from {source}),
+ {name}_step({keys}, ps, i, cur, done) as (select {keys}, ps, 1, '', cast([] as varchar[]) from {name}_parts
+  union all select {keys}, ps, i + 1, case when length(cur) + length(ps[i]) < 1000 then cur || ps[i] || {gap} else ps[i] || {gap} end,
+   case when length(cur) + length(ps[i]) < 1000 or cur = '' then done else list_append(done, cur) end from {name}_step where i <= len(ps)),
+ {name}_all as (select {keys}, unnest(case when cur = '' then done else list_append(done, cur) end) as c, generate_subscripts(case when cur = '' then done else list_append(done, cur) end, 1) - 1 as piece from {name}_step where i > len(ps)),
+ {name} as (select {keys}, piece, {_strip("c")} as content from {name}_all)"""
+
+
+#: Sections that the router cuts by lines or records, and what becomes of them.
+def _tail():
+    return F.concat(F.lit("\n# Limit Risk\n"), F.repeat(F.lit("a | b | 1.000\n"), 30), F.lit("# Banka İstihbaratı\n"), F.repeat(F.lit("Banka: X\nNot: iyi\n"), 12), F.lit("# E-Haciz\n"), F.repeat(F.lit("Firma | 2024 | 1\n"), 20))
+
+
+_CUT = "".join(
+    f" union all select {section}, {piece}, '{header}', {head} || rtrim(repeat({line}, {n}), chr(10))"
+    for section, header, head, line, sizes in (
+        (0, "Limit Risk", "'## Limit Risk Bilgileri (Bin TL)' || chr(10) || chr(10) || 'Tüm tutarlar Bin TL''dir.' || chr(10) || chr(10)", "'a | b | 1.000' || chr(10)", (12, 12, 6)),
+        (1, "Banka İstihbaratı", "'## Banka İstihbaratı' || chr(10) || chr(10)", "'Banka: X' || chr(10) || 'Not: iyi' || chr(10)", (10, 2)),
+        (2, "E-Haciz", "'## E-Haciz Tarihçesi' || chr(10) || chr(10)", "'Firma | 2024 | 1' || chr(10)", (8, 8, 4)),
+    )
+    for piece, n in enumerate(sizes)
+).removeprefix(" union all ")
+_ROUTED = f"""with recursive {_SECTIONS}, secs as (select doc_id, sec - 1 as position, level, header, content from names join bodies using (doc_id, sec)),
+ wide as (select doc_id, position, content from secs where length(content) > 1200), {_packs("packed", "wide", "doc_id, position")},
+ short as (select doc_id, position as section, 0 as piece, content, header, level, position from secs where length(content) between 50 and 1200),
+ long as (select p.doc_id, p.position as section, p.piece, p.content, s.header, s.level, p.piece as position from packed p join secs s on p.doc_id = s.doc_id and p.position = s.position where length(p.content) >= 50),
+ fixed(section, piece, header, content) as ({_CUT}), counts as (select d.doc_id, count(s.position) as n from documents d left join secs s on d.doc_id = s.doc_id group by 1),
+ tail as (select c.doc_id, c.n + f.section as section, f.piece, f.content, f.header, 1 as level, c.n + f.section as position from counts c cross join fixed f),
+ every as (select * from short union all select * from long union all select * from tail)
+ select doc_id, cast(row_number() over (partition by doc_id order by section, piece) - 1 as integer) as chunk_index, content, header, cast(level as integer) as level, cast(position as integer) as position from every"""
+
+
+@query(_ROUTED)
 def chunk_router(spark, d):
-    md = markdown_docs(spark, d).withColumn("text", F.concat("text", F.lit("\n# Limit Risk\n"), F.repeat(F.lit("a | b | 1.000\n"), 30), F.lit("# Banka İstihbaratı\n"), F.repeat(F.lit("Banka: X\nNot: iyi\n"), 12), F.lit("# E-Haciz\n"), F.repeat(F.lit("Firma | 2024 | 1\n"), 20)))
-    return K.chunks_of(md)
+    return K.chunks_of(markdown_docs(spark, d).withColumn("text", F.concat("text", _tail())))
 
 
 @query(f"""with {MARKDOWN_LINES}, pos as (select *, sum(length(x) + 1) over (partition by doc_id order by i, j) - length(x) - 1 as p from md_lines),
@@ -176,6 +212,44 @@ def page_asof(spark, d):
     return E.page_as_of(chunks, marks, ["doc_id"])
 
 
+_MARK = f"^#+[{_W}\\n]*Sayfa[{_W}\\n]+([0-9]+)[{_W}\\n]*$"
+_INGESTED = f"""with recursive {MARKDOWN_LINES}, md as (select doc_id, string_agg(x, chr(10) order by i, j) as text from md_lines group by 1),
+ given as (select d.doc_id, d.source || '_' || d.doc_id || '.txt' as filename, case when d.doc_id % 2 = 0 then m.text else d.text end as text from documents d join md m using (doc_id)),
+ ready as (select *, {_clean(_markdown("text"))} as r from given),
+ ls as (select doc_id, unnest(string_split(r, chr(10))) as x, generate_subscripts(string_split(r, chr(10)), 1) as i from ready),
+ placed as (select *, sum(length(x) + 1) over (partition by doc_id order by i) - length(x) - 1 as p, regexp_matches(x, '^#{{1,6}}[{_W}]+.') as h, case when regexp_matches(x, '^#{{1,6}}[{_W}]+.') then length(regexp_extract(x, '^#+')) end as level, {_strip("regexp_replace(x, '^#{1,6}[" + _W + "]+', '')")} as title from ls),
+ marks as (select doc_id, p, cast(regexp_extract(x, '{_MARK}', 1) as integer) as page from placed where regexp_matches(x, '{_MARK}')),
+ cut as (select *, sum(cast(h as integer)) over (partition by doc_id order by i) as sec, sum(cast(coalesce(level, 9) = 1 as integer)) over (partition by doc_id order by i) as g1 from placed),
+ above as (select *, last_value(case when level = 1 then title end ignore nulls) over (partition by doc_id order by i) as h1, last_value(case when level = 2 then title end ignore nulls) over (partition by doc_id, g1 order by i) as h2 from cut),
+ names as (select doc_id, sec, case level when 1 then title when 2 then concat_ws(' > ', h1, title) else concat_ws(' > ', h1, h2, title) end as header from above where h),
+ bodies as (select doc_id, sec, {_strip("string_agg(x, chr(10) order by i)")} as content from above where sec > 0 group by 1, 2),
+ plain as (select doc_id, r as content from ready where doc_id not in (select doc_id from names)), {_packs("first", "plain", "doc_id")},
+ units as (select doc_id, cast(sec - 1 as bigint) as section, header, content from names join bodies using (doc_id, sec) union all select doc_id, piece, null, content from first),
+ wide as (select doc_id, section, content from units where length(content) > 1200), {_packs("again", "wide", "doc_id, section")},
+ pieces as (select doc_id, section, 0 as piece, header, content, section as position from units where length(content) between 50 and 1200
+  union all select a.doc_id, a.section, a.piece, u.header, a.content, a.piece from again a join units u on a.doc_id = u.doc_id and a.section = u.section where length(a.content) >= 50),
+ heads as (select p.*, g.filename, g.text, y.r, {_strip("left(p.content, 200)")} as h200, {_strip("left(p.content, 80)")} as h80 from pieces p join given g using (doc_id) join ready y using (doc_id)),
+ found as (select *, case when h200 <> '' then coalesce(nullif(instr(r, h200), 0), nullif(instr(r, h80), 0)) - 1 end as place from heads),
+ paged as (select f.*, m.page from found f asof left join marks m on f.doc_id = m.doc_id and f.place >= m.p),
+ told as (select *, {_KIND} as kind, {_ISDICT} as dictionary from paged),
+ full_ as (select *, '[Kaynak: ' || upper(filename[1]) || replace(substring(filename, 2, length(filename) - 5), '_', ' ') || ' | Doküman Türü: ' || kind || ']' || case when coalesce(header, '') <> '' then chr(10) || '[Bölüm: ' || header || ']' else '' end || chr(10) || chr(10) || content as whole from told)
+ select filename, cast(row_number() over (partition by doc_id order by section, piece) - 1 as integer) as chunk_index, whole as content, cast(length(whole) as bigint) as chunk_size, cast(length(text) as bigint) as original_length,
+  coalesce(header, '') as header, cast(position as bigint) as chunk_position, kind as doc_type, dictionary as is_dictionary, cast(page as varchar) as source_page, cast(length(whole) - length(replace(whole, 'e', '')) as double) as e_count from full_"""
+
+
+@query(_INGESTED)
+def ingest_documents(spark, d):
+    """The whole way from extracted texts, every other one with headings and page marks, to embedded, tagged chunks."""
+    md = markdown_docs(spark, d).select("doc_id", F.col("text").alias("marked"))
+    docs = documents(spark, d).join(md, "doc_id").select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.when(F.col("doc_id") % 2 == 0, F.col("marked")).otherwise(F.col("text")).alias("text"))
+    rows = ingest(docs, embedder(letter_counts))
+    of = lambda k, kind="string": F.get_json_object("doc_metadata", f"$.{k}").cast(kind).alias(k)
+    return rows.select(
+        "filename", F.col("chunk_index").cast("int"), "content", of("chunk_size", "long"), of("original_length", "long"), F.coalesce(of("header"), F.lit("")).alias("header"), of("chunk_position", "long"),
+        of("doc_type"), of("is_dictionary", "boolean"), of("source_page"), F.element_at("embedding", 5).cast("double").alias("e_count"),
+    )
+
+
 _FOUND = f"""with {MARKDOWN_LINES}, pos as (select *, sum(length(x) + 1) over (partition by doc_id order by i, j) - length(x) - 1 as p from md_lines),
  marks as (select doc_id, p, cast(regexp_extract(x, '^## Sayfa ([0-9]+)$', 1) as integer) as page from pos where j = 0 and i > 0),
  whole as (select doc_id, string_agg(x, chr(10) order by i, j) as text from md_lines group by 1),
@@ -289,9 +363,6 @@ def header_row(spark, d):
 @query("""with t as (select *, case when l_linenumber % 3 = 1 then year(l_shipdate) || '/' || month(l_shipdate) end as period from lineitem)
  select l_orderkey, l_linenumber, coalesce(period, last_value(period ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice rows between unbounded preceding and 1 preceding)) as period from t""")
 def period_ffill(spark, d):
-    from pyspark.sql.window import Window
-
-    t = table(spark, d, "lineitem")
     own = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.year("l_shipdate").cast("string"), F.lit("/"), F.month("l_shipdate").cast("string")))
-    before = F.last("own", ignorenulls=True).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1))
-    return t.withColumn("own", own).select("l_orderkey", "l_linenumber", F.coalesce("own", before).alias("period"))
+    period = T.n_carried(own, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"])
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", period.alias("period"))

@@ -238,9 +238,9 @@ def _answers(spark, d, **scope):
     return retrieval.answer(chunks, questions(spark, d).select("query_id", "query"), 5, embed, first_sentence, **scope)
 
 
-@query(_way() + " select query_id, query, answer, source_ids, 'GLOBAL' as mode from answers")
+@query(_way() + " select query_id, query, answer, array_to_string(source_ids, ',') as source_ids, 'GLOBAL' as mode from answers")
 def rag_end_to_end(spark, d):
-    return _answers(spark, d).select("query_id", "query", "answer", F.transform("sources", lambda s: s["id"]).alias("source_ids"), "mode")
+    return _answers(spark, d).select("query_id", "query", "answer", F.array_join(F.transform("sources", lambda s: s["id"].cast("string")), ",").alias("source_ids"), "mode")
 
 
 @query(_way("unit = 'en'") + " select query_id, answer, cast(len(source_ids) as integer) as n, 'SCOPED' as mode from answers")
