@@ -190,13 +190,24 @@ def rate_limit_count(spark, d):
     return limits.current_hits(table(spark, d, "events"), "2024-01-20", 86_400)
 
 
-@query("""with w as (select *, last_value(case when event_type = 'purchase' then {'at': ts, 'v': value} end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as put from events)
- select event_id, case when event_type <> 'purchase' and ts - put.at < interval 6 hour then put.v end as got from w""")
+_CACHE = """with w as (select *, last_value(case when event_type = 'purchase' then {'at': ts, 'v': value} end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as put from events)
+ select event_id, case when event_type <> 'purchase' and ts - put.at < interval 6 hour then put.v end as got from w"""
+
+
+@query(_CACHE)
 def ttl_cache_replay(spark, d):
     ops = table(spark, d, "events").withColumn("is_put", F.col("event_type") == "purchase")
     return limits.cache_replay(ops, 6 * 3600, key="user_id").select("event_id", "got")
 
 
+@query(_CACHE)
+def ttl_cache_stream(spark, d):
+    """The same as a stream over the table's files, with state per key."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    ops = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("is_put", F.col("event_type") == "purchase")
+    return continuous.run_to_table(limits.cache_stream(ops, 6 * 3600), work_path(spark, "cache"), work_path(spark, "cache-checkpoint"))
+
+
 @query("""select conv_id, turn, case when text = '' then null else text end as answer from conversations""")
 def token_stream(spark, d):
     """Texts as a model would stream them, word by word, put together again."""

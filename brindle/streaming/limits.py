@@ -111,3 +111,37 @@ def cache_replay(ops: DataFrame, ttl_s: int, key: str = "key", ts: str = "ts", o
     last = F.last(put, ignorenulls=True).over(line)
     alive = micros(ts) - micros(last["at"]) < ttl_s * 1_000_000
     return ops.withColumn("got", F.when(~F.col(is_put) & alive, last["v"]))
+
+
+def cache_stream(ops: DataFrame, ttl_s: int, key: str = "user_id", ts: str = "ts", order: str = "event_id", is_put: str = "is_put", value: str = "value", late: str | None = None) -> DataFrame:
+    """The same over a stream: event_id, got. State per key: its last put and when that was. With ``late`` (as for the rate
+    limit) a key's state goes once its put has expired for good; a put that has expired is forgotten at the next operation."""
+    wide = ttl_s * 1_000_000
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, held = state.get if state.exists else (None, None)
+        rows, got = pd.concat([p[["event_id", "t", "put", "v"]] for p in parts]).sort_values(["t", "event_id"]), []
+        for t, put, v in zip(rows["t"].tolist(), rows["put"].tolist(), rows["v"].tolist()):
+            if put:
+                at, held = t, v
+            elif at is not None and t - at >= wide:
+                at = held = None
+            got.append(None if put or at is None else held)
+        if at is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((at, held))
+            if late:
+                state.setTimeoutTimestamp(max((at + wide) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"], "got": pd.Series(got, index=rows.index, dtype="float64")})
+
+    seen = ops.withColumn(ts, F.col(ts).cast("timestamp"))
+    columns = [F.col(key).cast("long").alias("user_id"), F.col(order).cast("long").alias("event_id"), micros(ts).alias("t"), F.col(is_put).alias("put"), F.col(value).cast("double").alias("v")]
+    if late:
+        seen, columns = seen.withWatermark(ts, late), [*columns, F.col(ts).alias("seen")]
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return seen.select(*columns).groupBy("user_id").applyInPandasWithState(run, "event_id long, got double", "at long, held double", "append", timeout)
