@@ -26,14 +26,34 @@ def expand(chunks: DataFrame, questions: DataFrame, per_question: int = 3) -> Da
     return out.withColumn("expanded", F.when(F.size(F.coalesce("terms", none)) > 0, bracket).otherwise(F.col("query"))).withColumn("headers", F.coalesce("headers", none)).drop("terms")
 
 
+def with_policies(questions: DataFrame, policies: dict[str, Policy], default: Policy = Policy(), unit_col: str = "unit") -> DataFrame:
+    """``questions`` with the policy of each one's unit (a struct column ``policy``). The table of policies is configuration:
+    as many rows as there are names in ``policies``, so it is broadcast."""
+    names = ("candidate_multiplier", "min_similarity", "numeric_weight", "overlap_weight", "header_weight", "max_context_chunks")
+    kinds = ("int", "double", "double", "double", "double", "int")
+    schema = "_unit string, _policy struct<" + ", ".join(f"{n}:{k}" for n, k in zip(names, kinds)) + ">"
+    rows = [(unit.strip().lower(), tuple(getattr(p, n) for n in names)) for unit, p in policies.items()]
+    table = questions.sparkSession.createDataFrame(rows, schema)
+    own = F.struct(*[F.lit(getattr(default, n)).cast(k).alias(n) for n, k in zip(names, kinds)])
+    joined = questions.join(F.broadcast(table), F.lower(F.trim(F.coalesce(unit_col, F.lit("")))) == F.col("_unit"), "left")
+    return joined.withColumn("policy", F.coalesce("_policy", own)).drop("_unit", "_policy")
+
+
+def _setting(rows: DataFrame, policy: Policy, name: str):
+    """A policy's value: each row's own where it has a policy, else that of the call."""
+    return F.col("policy")[name] if "policy" in rows.columns else F.lit(getattr(policy, name))
+
+
 def rerank(candidates: DataFrame, k: int, policy: Policy = Policy()) -> DataFrame:
     """Candidates (with query, similarity, content, doc_metadata, headers) in their final order, cut at k."""
     header = R.chunk_header(F.col("doc_metadata"), F.col("content"))
     number = F.when(R.wants_numbers(F.col("query")), R.numericity(F.col("content"))).otherwise(F.lit(0.0))
-    score = F.coalesce("similarity", F.lit(0.0)) + policy.numeric_weight * number + policy.overlap_weight * R.token_overlap(F.col("query"), F.col("content")) + policy.header_weight * R.header_similarity(header, F.col("headers"))
+    of = lambda name: _setting(candidates, policy, name)
+    score = F.coalesce("similarity", F.lit(0.0)) + of("numeric_weight") * number + of("overlap_weight") * R.token_overlap(F.col("query"), F.col("content")) + of("header_weight") * R.header_similarity(header, F.col("headers"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "id")
     scored = candidates.withColumn("score", F.round(score, 6)).drop("rank")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    most = F.coalesce(_setting(candidates, Policy(), "max_context_chunks").cast("int"), F.lit(k))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def context(ranked: DataFrame) -> DataFrame:
@@ -68,11 +88,16 @@ def debug_info(candidates: DataFrame, ranked: DataFrame, k: int, policy: Policy
     return counts.join(top, "query_id", "left").select("query_id", info.alias("debug_info"))
 
 
-def candidates(chunks: DataFrame, questions: DataFrame, k: int, policy: Policy = Policy(), **scope) -> DataFrame:
-    """Over-fetched chunks of each question that are near enough, with the question's text and headers."""
-    found = search(chunks, questions, max(k, 1) * max(policy.candidate_multiplier, 1), **scope)
-    asked = questions.select("query_id", "query", F.col("headers") if "headers" in questions.columns else F.expr("cast(array() as array<string>)").alias("headers"))
-    return found.where(F.coalesce("similarity", F.lit(0.0)) >= policy.min_similarity).join(asked, "query_id")
+def candidates(chunks: DataFrame, questions: DataFrame, k: int, policy: Policy = Policy(), widest: int | None = None, **scope) -> DataFrame:
+    """Over-fetched chunks of each question that are near enough, with the question's text and headers. Questions may have
+    policies of their own (``with_policies``); ``widest`` is then the largest of their multipliers."""
+    found = search(chunks, questions, max(k, 1) * max(widest or policy.candidate_multiplier, 1), **scope)
+    headers = F.col("headers") if "headers" in questions.columns else F.expr("cast(array() as array<string>)").alias("headers")
+    asked = questions.select("query_id", "query", headers, *(["policy"] if "policy" in questions.columns else []))
+    both = found.join(asked, "query_id").where(F.coalesce("similarity", F.lit(0.0)) >= _setting(asked, policy, "min_similarity"))
+    if "policy" in asked.columns:
+        both = both.where(F.col("rank") <= max(k, 1) * F.greatest(F.col("policy")["candidate_multiplier"], F.lit(1)))
+    return both
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int, policy: Policy = Policy(), **scope) -> DataFrame:
@@ -80,6 +105,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int, policy: Policy = P
     return rerank(candidates(chunks, questions, k, policy, **scope), policy.max_context_chunks or k, policy)
 
 
+def retrieve_by_unit(chunks: DataFrame, questions: DataFrame, k: int, policies: dict[str, Policy], default: Policy = Policy()) -> DataFrame:
+    """``retrieve`` for questions of several units (column ``unit``) at once, each by its unit's policy."""
+    widest = max(p.candidate_multiplier for p in (default, *policies.values()))
+    near = candidates(chunks, with_policies(questions, policies, default), k, default, widest)
+    return rerank(near, k, default)
+
+
 def answer(chunks: DataFrame, questions: DataFrame, k: int, embed, generate, policy: Policy = Policy(), custom_prompt: str | None = None, **scope) -> DataFrame:
     """The whole way: embed, expand, embed anew, retrieve, build the context, generate. ``embed`` and ``generate`` are
     column functions (text -> vector; system prompt, user prompt -> text). Questions without a source get the fallback."""

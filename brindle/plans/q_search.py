@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Policy
 from ..functions import relevance as R
 from ..functions.models import LETTERS, embedder, first_sentence, hash_vectors, letter_counts
 from ..operators import retrieval, search
@@ -149,6 +150,28 @@ def rerank_topk(spark, d):
     return out.select("query_id", "id", F.col("rank").cast("int").alias("rank"), "score")
 
 
+_POLICIES = {"En": Policy(candidate_multiplier=3, numeric_weight=0.5, overlap_weight=0.3), "fr": Policy(min_similarity=0.2, overlap_weight=0.0, max_context_chunks=4)}
+
+
+def _by_unit(name: str) -> str:
+    return f"case u when 'en' then {getattr(_POLICIES['En'], name)} when 'fr' then {getattr(_POLICIES['fr'], name)} else {getattr(Policy(), name)} end"
+
+
+@query(
+    f"""with {CORPUS}, {questions_sql()}, asked as (select *, ['en', 'fr', 'de'][(query_id // 100) % 3 + 1] as u from questions),
+ near as (select q.query_id, q.query, q.u, c.*, {_SIM} as s, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join asked q where {_NODICT}),
+ scored as (select query_id, u, id, s, round(s + {_by_unit("numeric_weight")} * (case when {_WANTS.format(q='query')} then {_NUMBER.format(c='content')} else 0.0 end) + {_by_unit("overlap_weight")} * {_OVERLAP.format(q='query', c='content')}, 6) as score
+  from near where r <= 10 * {_by_unit("candidate_multiplier")} and s >= {_by_unit("min_similarity")})
+ select query_id, id, cast(row_number() over (partition by query_id order by score desc, s desc, id) as integer) as rank, score from scored
+ qualify row_number() over (partition by query_id order by score desc, s desc, id) <= case u when 'fr' then 4 else 10 end"""
+)
+def rerank_by_unit(spark, d):
+    """Questions of three units in one batch, two of which have policies of their own."""
+    unit = F.element_at(F.array(F.lit(" EN"), F.lit("fr"), F.lit("de")), (F.floor(F.col("query_id") / 100) % 3 + 1).cast("int"))
+    out = retrieval.retrieve_by_unit(corpus(spark, d), questions(spark, d).withColumn("unit", unit), 10, _POLICIES)
+    return out.select("query_id", "id", F.col("rank").cast("int").alias("rank"), "score")
+
+
 _EXPANSION = f"""with {CORPUS}, {questions_sql()}, near as (select q.query_id, q.query, c.id, c.content, {_CHUNK_HEADER} as h, row_number() over (partition by q.query_id order by {_SIM} desc, c.id) as r from corpus c cross join questions q where {_DICT}),
  top as (select * from near where r <= 3), words as (select query_id, query, r, unnest(list_slice(regexp_extract_all(left(content, 500), '[{R.LETTERS}]{{4,}}'), 1, 12)) as w, generate_subscripts(list_slice(regexp_extract_all(left(content, 500), '[{R.LETTERS}]{{4,}}'), 1, 12), 1) as i from top),
  firsts as (select query_id, query, lower(w) as w, min(r * 100 + i) as place from words where not contains(lower(query), lower(w)) group by all),
