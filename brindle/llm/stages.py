@@ -19,10 +19,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more).
-    Rows are known by doc_id and text: of rows equal in both one stays, and of rows with one doc_id and texts of different
-    groups each may stay. Texts without words (nulls too) are one group; rows without a doc_id all stay; an empty table
-    gives none."""
+    """The document of least doc_id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more),
+    found by SimHash fingerprints in vantage-point trees and decided by the shingles. Rows are known by doc_id and text:
+    of rows equal in both one stays, and of rows with one doc_id and texts of different groups each may stay. Texts
+    without words (nulls too) are one group; rows without a doc_id all stay; an empty table gives none."""
     from .shingles import first_of_each
 
     text, head, hash_ = fresh(docs, "text_hash", "f_id", "f_hash")
