@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.classify import is_credit_report
+from ..functions.normalize import upper
 from ..operators import analytics as A
 from ..operators import retrieval
 from ..sinks import store as S
@@ -110,7 +111,7 @@ def _plain(df):
 def reingest_upsert(spark, d):
     """Two files come again for one unit, in all its collections."""
     rows = _plain(corpus(spark, d))
-    new = rows.where(F.col("filename").isin("src1.txt", "src2.txt") & (F.col("unit") == "en")).withColumns({"id": F.col("id") + 1000000, "content": F.upper("content")})
+    new = rows.where(F.col("filename").isin("src1.txt", "src2.txt") & (F.col("unit") == "en")).withColumns({"id": F.col("id") + 1000000, "content": upper(F.col("content"))})
     scopes = spark.createDataFrame([("src1.txt", "en", None), ("src2.txt", "en", None)], "filename string, unit string, collection string")
     return S.replaced(rows, new, scopes)
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from brindle.config import Settings
 from brindle.engine import Engine, key_hash, request_id, user_of
 from brindle.pipeline import ingest
+from brindle.plans import registry
 from brindle.plans.q_analytics import sample_file
 from brindle.sinks.store import DocumentStore, merged_metadata
 from brindle.sources import scans
 from brindle.streaming import continuous, limits
+from tests.oracle import connect, rows_of, sql_rows
 
 ROW = "filename string, chunk_index int, content string, unit string, collection string"
 
@@ -164,3 +166,15 @@ def test_replay_equals_a_loop(spark, small):
 def test_identity_helpers():
     assert key_hash("k") == "8254c329a92850f6d539dd376f4816ee2764517da5e0235514af433164480d7a" and key_hash(None) is None
     assert user_of(None, None) == "anonymous" and user_of("h", "p") == "h" and len(request_id()) == 36 and request_id("r") == "r"
+
+
+def test_capitals_of_a_reingest_are_those_of_its_sql(spark, small, tmp_path):
+    """One character stays one character: no capital ``SS`` of ``ß``, no two letters of ``ﬁ`` or ``ŉ``."""
+    for name in ("documents", "embeddings"):
+        df = spark.read.parquet(f"{small}/{name}.parquet")
+        if name == "documents":
+            df = df.where("doc_id < 20").withColumns({"text": F.concat("text", F.lit("ß ﬁ ŉ ᾳ ǆ ı i ς straße 𐐨")), "source": F.lit("src1"), "lang": F.lit("en")})
+        df.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got = rows_of(registry.QUERIES["reingest_upsert"](spark, f"file://{tmp_path}"))
+    assert got == sql_rows(connect(str(tmp_path)), registry.ORACLES["reingest_upsert"])
+    assert len(got[1]) == 20 and all("STRAẞE" in r[2] for r in got[1])
