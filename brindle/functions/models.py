@@ -17,13 +17,12 @@ def embedder(model: Callable[[list[str]], list[list[float]]], batch: int = 128)
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            texts, out = s.fillna("").tolist(), []
-            for i in range(0, len(texts), batch):
-                got = model(texts[i : i + batch])
-                if len(got) != len(texts[i : i + batch]):
-                    raise ValueError(f"{len(got)} vectors for {len(texts[i : i + batch])} texts")
-                out += got
-            yield pd.Series(out)
+            for i in range(0, len(s), batch):
+                texts = s.iloc[i : i + batch].fillna("").tolist()
+                got = model(texts)
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+                yield pd.Series(got)
 
     return run
 

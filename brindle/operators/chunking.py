@@ -9,17 +9,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalize import strip
+from .layout import by_slices
 
 SIZE, LEAST = 1000, 50
 #: Records of a bank section and lines of the other sectioned kinds that make a chunk.
 PER_CHUNK = {"records": 10, "seizures": 8, "limits": 12}
 HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
-CHUNK = "array<struct<content:string,header:string,level:int,position:int>>"
+FIELDS = [T.StructField("content", T.StringType()), T.StructField("header", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("position", T.IntegerType())]
+CHUNK = T.ArrayType(T.StructType(FIELDS))
 
 
 def paragraphs(text: Column, size: int = SIZE) -> Column:
@@ -45,10 +47,15 @@ def sliding(text: Column, size: int = SIZE, overlap: int = 200) -> Column:
 
 def line_groups(text: Column, title: str, per_chunk: int, note: str = "") -> Column:
     """A section's data lines in groups, each below the section's title and note; the text itself if it has none."""
-    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: (strip(x) != "") & ~strip(x).startswith("#") & ~strip(x).startswith("Tüm tutarlar Bin TL"))
+    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: (strip(x) != "") & ~strip(x).startswith("#") & ~strip(x).startswith("Tüm tutarlar Bin TL"))
     head = f"## {title}\n\n" + (f"{note}\n\n" if note else "")
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(per_chunk)), lambda i: F.concat(F.lit(head), F.array_join(F.slice(lines, i + 1, per_chunk), "\n")))
-    return F.when(F.size(lines) > 0, groups).otherwise(F.array(text))
+
+    def groups(found):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(per_chunk))
+        return F.when(F.size(found) > 0, F.transform(starts, lambda i: F.concat(F.lit(head), F.array_join(F.slice(found, i + 1, per_chunk), "\n"))))
+
+    # an array of the one list binds it: as an expression it would be cut and filtered anew for each group
+    return F.coalesce(F.get(F.transform(F.array(lines), groups), F.lit(0)), F.array(text))
 
 
 def pack_paragraphs(text: str, size: int = SIZE) -> list[str]:
@@ -133,11 +140,7 @@ def route(text: str | None, size: int = SIZE, keep_preamble: bool = False) -> li
 
 
 def chunker(kernel: Callable[[str], list[dict]] = route) -> Callable[[Column], Column]:
-    @F.pandas_udf(CHUNK)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: kernel(t or ""))
-
-    return run.asNondeterministic()  # else a filter on the array's size is put below the explode, and runs it twice
+    return by_slices(lambda t: kernel(t or ""), CHUNK).asNondeterministic()  # else a filter on the array's size is put below the explode, and runs it twice
 
 
 def chunks_of(docs: DataFrame, text: str = "text", kernel: Callable[[str], list[dict]] = route) -> DataFrame:

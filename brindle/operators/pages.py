@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tree import parse
+from .layout import by_slices
+from .tree import fell, parse
 
 _KEPT = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table")
 
@@ -23,12 +22,11 @@ def html_to_markdown(html: str | None) -> str:
         else:
             mark = {"p": "", "li": "- "}.get(n.name) if n.name in ("p", "li") else "#" * int(n.name[1]) + " "
             out.append(mark + n.text())
+    fell(top)
     return "\n\n".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def clean_html(pages: pd.Series) -> pd.Series:
-    return pages.map(html_to_markdown)
+clean_html = by_slices(html_to_markdown, T.StringType())
 
 
 def upload_text(html: str | None) -> str:

@@ -1,7 +1,7 @@
 """Exact, filtered vector top-k for batches of questions.
 
-Questions come to the executors in blocks of bounded size; each Arrow batch of chunks is one matrix product and hands on
-its own top k per question, so what is shuffled does not grow with the corpus' width. Filters are plain predicates that
+Questions come to the executors in blocks of bounded size; chunks meet them in matrix products of bounded size, and a task
+hands on its own top k per question, so what is held and shuffled does not grow with the corpus. Filters are plain predicates that
 reach the scan (unit and collection are partition columns of the store).
 """
 
@@ -17,6 +17,8 @@ from ..functions.relevance import cosine
 
 #: Questions that are shared with the executors at once.
 BLOCK = 1024
+#: Similarities that a task holds at once (8 bytes each, and some copies of them).
+CELLS = 1 << 19
 #: Found rows (of some 40 bytes) that may be broadcast to fetch their chunks; with more, both sides are shuffled.
 MOST_SHARED = 200_000
 
@@ -65,15 +67,26 @@ def in_scopes(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
 def best_of(ids: list[int], keys: np.ndarray, sim: np.ndarray, k: int) -> pa.RecordBatch:
     """The k best rows of a batch for each question (a column of ``sim``), ties to the lower key: a partition finds each
     column's k-th value, and only what reaches it is sorted."""
+    return _batch(ids, *_best(keys, sim, k))
+
+
+def _best(keys: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s = np.where(np.isnan(sim), -np.inf, sim)
     bound = np.partition(s, len(s) - k, axis=0)[len(s) - k] if k < len(s) else np.full(s.shape[1], -np.inf)
     row, column = np.nonzero((s >= bound) & np.isfinite(s))
-    order = np.lexsort((keys[row], -s[row, column], column))
-    row, column = row[order], column[order]
-    first = np.searchsorted(column, np.arange(s.shape[1]))
-    keep = np.arange(len(column)) - first[column] < k
-    row, column = row[keep], column[keep]
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[column]), pa.array(keys[row]), pa.array(s[row, column])], ["query_id", "key", "similarity"])
+    return _first(column, keys[row], s[row, column], k)
+
+
+def _first(column: np.ndarray, keys: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each question's rows: question, key, similarity, in the order of the ranks."""
+    order = np.lexsort((keys, -sim, column))
+    column, keys, sim = column[order], keys[order], sim[order]
+    keep = np.arange(len(column)) - np.searchsorted(column, column) < k
+    return column[keep], keys[keep], sim[keep]
+
+
+def _batch(ids: list[int], column: np.ndarray, keys: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[column]), pa.array(keys), pa.array(sim)], ["query_id", "key", "similarity"])
 
 
 def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedding", key: str = "id", id_col: str = "query_id", question_vector: str = "qv") -> DataFrame:
@@ -94,15 +107,15 @@ def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedd
             ids, q = shared.value
             if not ids:
                 return
-            norm = np.linalg.norm(q, axis=1)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                flat = b.column(1)
-                x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            norm, rows = np.linalg.norm(q, axis=1), max(1, CELLS // len(ids))
+            held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for b in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     sim = np.round((x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * norm), 9)
-                yield best_of(ids, b.column(0).to_numpy(zero_copy_only=False), sim, k)
+                best = _best(b.column(0).to_numpy(zero_copy_only=False), sim, k)
+                held = _first(*map(np.concatenate, zip(held, best)), k)
+            yield _batch(ids, *held)
 
         near = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "query_id long, key long, similarity double")
         found = near if found is None else found.unionByName(near)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .config import Policy
 from .functions import classify, normalize
 from .operators import chunking, enrich, retrieval
+from .operators.layout import by_slices
 
-PIECE = "array<struct<content:string,header:string,level:int,position:int,page:int>>"
+PIECE = T.ArrayType(T.StructType([*chunking.FIELDS, T.StructField("page", T.IntegerType())]))
 
 
 def chunks_with_pages(text: str | None, size: int = chunking.SIZE) -> list[dict]:
@@ -25,11 +26,7 @@ def ingest(files: DataFrame, embed=None, size: int = chunking.SIZE) -> DataFrame
 
     A document's text stays in its row until it is cut, and nothing is shuffled. ``embed`` is a column function.
     """
-
-    @F.pandas_udf(PIECE)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunks_with_pages(t, size))
-
+    cut = by_slices(lambda t: chunks_with_pages(t, size), PIECE)
     kind = F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1))
     layout = F.col("html_format") if "html_format" in files.columns else F.lit(None).cast("string")
     plain = normalize.clean_text(normalize.to_markdown(F.col("text")))
