@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 def embedder(model: Callable[[list[str]], list[list[float]]], batch: int = 128) -> Callable[[Column], Column]:
     """A column function around ``model``, which gets at most ``batch`` texts at a time and returns as many vectors."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in parts:
             for i in range(0, len(s), batch):
-                texts = s.iloc[i : i + batch].fillna("").tolist()
+                texts = [t or "" for t in s.slice(i, batch).to_pylist()]
                 got = model(texts)
                 if len(got) != len(texts):
                     raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
-                yield pd.Series(got)
+                yield pa.array(got, pa.list_(pa.float32()))
 
     return run
 

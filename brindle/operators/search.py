@@ -64,31 +64,23 @@ def in_scopes(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
     return chunks.join(scopes.select("filename").distinct(), "filename", "left_semi")
 
 
-def best_of(ids: list[int], keys: np.ndarray, sim: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best rows of a batch for each question (a column of ``sim``), ties to the lower key: a partition finds each
-    column's k-th value, and only what reaches it is sorted."""
-    return _batch(ids, *_best(keys, sim, k))
-
-
-def _best(keys: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(keys: np.ndarray, sim: np.ndarray, k: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What may be among the k best of each question (a column of ``sim``): a partition finds each column's k-th value; what
+    reaches it, and the k-th value ``low`` of the rows before, is kept."""
     s = np.where(np.isnan(sim), -np.inf, sim)
-    bound = np.partition(s, len(s) - k, axis=0)[len(s) - k] if k < len(s) else np.full(s.shape[1], -np.inf)
+    bound = np.maximum(low, np.partition(s, len(s) - k, axis=0)[len(s) - k]) if k < len(s) else low
     row, column = np.nonzero((s >= bound) & np.isfinite(s))
-    return _first(column, keys[row], s[row, column], k)
+    return column, keys[row], s[row, column]
 
 
 def _first(column: np.ndarray, keys: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k of each question's rows: question, key, similarity, in the order of the ranks."""
+    """The first k of each question's rows, ties to the lower key: question, key, similarity."""
     order = np.lexsort((keys, -sim, column))
     column, keys, sim = column[order], keys[order], sim[order]
     keep = np.arange(len(column)) - np.searchsorted(column, column) < k
     return column[keep], keys[keep], sim[keep]
 
 
-def _batch(ids: list[int], column: np.ndarray, keys: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[column]), pa.array(keys), pa.array(sim)], ["query_id", "key", "similarity"])
-
-
 def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedding", key: str = "id", id_col: str = "query_id", question_vector: str = "qv") -> DataFrame:
     """Each question's k nearest chunks: query_id, rank, similarity, distance, and the chunk's columns without its vector.
 
@@ -108,14 +100,19 @@ def top_k(chunks: DataFrame, questions: DataFrame, k: int, vector: str = "embedd
             if not ids:
                 return
             norm, rows = np.linalg.norm(q, axis=1), max(1, CELLS // len(ids))
-            held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            low, parts = np.full(len(ids), -np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for b in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     sim = np.round((x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * norm), 9)
-                best = _best(b.column(0).to_numpy(zero_copy_only=False), sim, k)
-                held = _first(*map(np.concatenate, zip(held, best)), k)
-            yield _batch(ids, *held)
+                parts.append(_near(b.column(0).to_numpy(zero_copy_only=False), sim, k, low))
+                if sum(len(p[0]) for p in parts[1:]) >= k * len(ids):
+                    parts = [_first(*map(np.concatenate, zip(*parts)), k)]
+                    column, _, found_ = parts[0]
+                    full = np.bincount(column, minlength=len(ids)) == k
+                    low = np.where(full, found_[np.searchsorted(column, np.arange(len(ids)), side="right") - 1], -np.inf) if len(column) else low
+            column, keys, best = _first(*map(np.concatenate, zip(*parts)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[column]), pa.array(keys), pa.array(best)], ["query_id", "key", "similarity"])
 
         near = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "query_id long, key long, similarity double")
         found = near if found is None else found.unionByName(near)

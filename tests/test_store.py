@@ -2,13 +2,16 @@
 
 import json
 import os
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import Settings
 from brindle.engine import Engine, key_hash, request_id, user_of
+from brindle.operators import search
 from brindle.pipeline import ingest
 from brindle.plans import registry
 from brindle.plans.q_analytics import sample_file
@@ -178,3 +181,16 @@ def test_capitals_of_a_reingest_are_those_of_its_sql(spark, small, tmp_path):
     got = rows_of(registry.QUERIES["reingest_upsert"](spark, f"file://{tmp_path}"))
     assert got == sql_rows(connect(str(tmp_path)), registry.ORACLES["reingest_upsert"])
     assert len(got[1]) == 20 and all("STRAẞE" in r[2] for r in got[1])
+
+
+def test_nearest_rows_are_found_in_small_parts(spark, monkeypatch):
+    """Similarities are held a few at a time, and a task hands on k rows a question; ties go to the lower key."""
+    monkeypatch.setattr(search, "CELLS", 64)
+    r = random.Random(3)
+    vectors = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(500)]
+    asked = [(q, [float(r.randint(-2, 2)) for _ in range(3)]) for q in range(9)]
+    chunks = spark.createDataFrame(r.sample(vectors, 500), "id long, embedding array<float>").repartition(2)
+    sim = lambda a, b: round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9)
+    want = {(q, i) for q, v in asked if any(v) for _, i in sorted((-sim(x, v), i) for i, x in vectors if any(x))[:7]}
+    found = search.top_k(chunks, spark.createDataFrame(asked, "query_id long, qv array<float>"), 7)
+    assert {(x["query_id"], x["id"]) for x in found.collect()} == want
