@@ -110,8 +110,9 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         page = F.when(i % 6 == 5, F.concat(F.lit("## Sayfa "), (F.floor(i / 6) + 1).cast("string"), F.lit("\n"))).otherwise(F.lit(""))
         return F.concat(page, F.when(i % 4 == 3, F.lit("# ")).when(i % 5 == 4, F.lit("### ")).otherwise(F.lit("")), x)
 
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), mark)
-    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("preamble\n"), F.array_join(lines, "\n")).alias("text"))
+    # the SQL's trim takes all of Unicode's spaces, the built-in one the blank alone
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^\p{Zs}*\z")), mark)
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.concat(F.array(F.lit("preamble")), F.coalesce(lines, F.expr("cast(array() as array<string>)"))), "\n").alias("text"))
 
 
 MARKDOWN_LINES = """raw_lines as (select doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as x, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 as i from documents),

@@ -194,3 +194,12 @@ def test_nearest_rows_are_found_in_small_parts(spark, monkeypatch):
     want = {(q, i) for q, v in asked if any(v) for _, i in sorted((-sim(x, v), i) for i, x in vectors if any(x))[:7]}
     found = search.top_k(chunks, spark.createDataFrame(asked, "query_id long, qv array<float>"), 7)
     assert {(x["query_id"], x["id"]) for x in found.collect()} == want
+
+
+def test_pages_of_odd_lines_are_those_of_its_sql(spark, tmp_path):
+    """Lines of wide spaces alone are none, tabs are one, and a line that reads like a page mark is text."""
+    texts = ["a\n\u00a0\nb\n\u3000 \n\t\nc\nd\ne\nf\ng", "\n".join(["Sayfa 9", "## Sayfa 4", "x", "Sayfa 7"] * 6), "", "one"]
+    rows = [(i, t, "src1", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = rows_of(registry.QUERIES["page_asof"](spark, f"file://{tmp_path}"))
+    assert got == sql_rows(connect(str(tmp_path)), registry.ORACLES["page_asof"]) and len(got[1]) > 30
